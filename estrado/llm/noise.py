@@ -67,6 +67,23 @@ def line_kind(line: str, inner: bool = True) -> str:
     return ""
 
 
+#: Words that a number goes with, at the end of the line before; fixed values.
+_NUMBERED = re.compile(r"(?iu)(?:\b(?:art[s5f]?|inc[s5]?|expte|fs?|n|nr[o0]|l[ec]y|d[ec]cr[ec]t[o0]|ac[o0]rdada|p[aá]rr|ap|cap|tom[o0]|s[ec]cci[óo]n|d[ec]|y|[ec]l|art[íi]cul[o0]s?)\b\.?|[°º$§,/(])$")
+
+
+def line_kinds(lines: list[str]) -> list[str]:
+    """``line_kind`` of each line; a bare number that goes on the text line before it is no page number."""
+    kinds, before = [], ""
+    for line in lines:
+        kind = line_kind(line, len(lines) > 1)
+        if kind == "pageno" and line.strip().isdigit() and _NUMBERED.search(before):
+            kind = ""
+        if not kind and line.strip():
+            before = line.rstrip()
+        kinds.append(kind)
+    return kinds
+
+
 def _spaced(bare: str) -> bool:
     """Letters set apart: every other character is a space."""
     parts = bare.split()
@@ -134,7 +151,7 @@ def _parts(files: DataFrame, every_line: bool) -> DataFrame:
             for file_id, pos, paragraphs in scans:
                 for section, para, text in paragraphs:
                     lines = text.split("\n")
-                    kinds = [line_kind(line, len(lines) > 1) for line in lines]
+                    kinds = line_kinds(lines)
                     body = [k for k, kind in enumerate(kinds) if not kind and lines[k].strip()]
                     half, flow = None, []
                     for place, k in enumerate(body):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estrado.llm import canon, confusables, cooccur, noise, split
+from estrado.llm import canon, confusables, cooccur, leak, mix, names, noise, split
 from estrado.sources.fallos import read_table
 
 
@@ -16,6 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda spark, d: canon.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "subsection_citations"), read_table(spark, d, "fuentes_ref")),
         "p5_found": lambda spark, d: split.found(read_table(spark, d, "fallos_json"), read_table(spark, d, "paragraphs")),
         "p6_found": lambda spark, d: cooccur.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "fuentes_ref")),
+        "p7_found": lambda spark, d: names.found(read_table(spark, d, "votos")),
+        "p8_found": lambda spark, d: leak.found(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),
+        "p9_mix": lambda spark, d: mix.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
+        "p9_shares": lambda spark, d: mix.shares(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
         "p10_found": lambda spark, d: confusables.found(read_table(spark, d, "documents")),
     }
 
