@@ -68,19 +68,21 @@ def line_kind(line: str, inner: bool = True) -> str:
 
 
 #: Words that a number goes with, at the end of the line before; fixed values.
-_NUMBERED = re.compile(r"(?iu)(?:\b(?:art[s5f]?|inc[s5]?|expte|fs?|n|nr[o0]|l[ec]y|d[ec]cr[ec]t[o0]|ac[o0]rdada|p[aá]rr|ap|cap|tom[o0]|s[ec]cci[óo]n|d[ec]|y|[ec]l|art[íi]cul[o0]s?)\b\.?|[°º$§,/(])$")
+_NUMBERED = re.compile(r"(?iu)(?:\b(?:[a@][rf][t+i][s5]?|[i|1]nc|nr[o0]|f[s5])\.|n[°º]|[$§])$")
 
 
 def line_kinds(lines: list[str]) -> list[str]:
-    """``line_kind`` of each line; a bare number that goes on the text line before it is no page number."""
-    kinds, before = [], ""
-    for line in lines:
-        kind = line_kind(line, len(lines) > 1)
-        if kind == "pageno" and line.strip().isdigit() and _NUMBERED.search(before):
-            kind = ""
-        if not kind and line.strip():
+    """``line_kind`` of each line; a bare number that the text line before asks for is no page number, unless the next
+    text line brings one."""
+    kinds = [line_kind(line, len(lines) > 1) for line in lines]
+    before = ""
+    for k, line in enumerate(lines):
+        if kinds[k] == "pageno" and line.strip().isdigit() and _NUMBERED.search(before):
+            after = next((x.strip() for x, kind in zip(lines[k + 1 :], kinds[k + 1 :]) if not kind and x.strip()), "")
+            if not after[:1].isdigit():
+                kinds[k] = ""
+        if not kinds[k] and line.strip():
             before = line.rstrip()
-        kinds.append(kind)
     return kinds
 
 
