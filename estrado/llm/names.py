@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estrado.plans.scratch import materialize
+
 #: Cosine of the n-gram vectors from which two words may be one; every pair above it is looked at.
 COSINE = 0.3
 #: Mean similarity between clusters down to which they are joined.
@@ -130,13 +132,13 @@ def word_links(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "w", "gram"])
 
-    grams = rows.mapInArrow(run, "g string, w string, gram string").groupBy("g", "w", "gram").agg(F.count("*").alias("tf"))
+    grams = materialize(rows.mapInArrow(run, "g string, w string, gram string").distinct())
     vocabulary = grams.select("g", "w").distinct()
     total = vocabulary.agg(F.count("*").alias("all"))
     idf = grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("gram", F.log1p(F.col("all") / F.col("df")).alias("idf"))
     weighted = grams.select("g", "w", "gram").join(idf, "gram")
     length = weighted.groupBy("g", "w").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    unit = weighted.join(length, ["g", "w"]).select("g", "gram", "w", (F.col("idf") / F.col("norm")).alias("x"))
+    unit = materialize(weighted.join(length, ["g", "w"]).select("g", "gram", "w", (F.col("idf") / F.col("norm")).alias("x")))
     other = unit.withColumnsRenamed({"w": "w2", "x": "y"})
     near = unit.join(other, ["g", "gram"]).where("w < w2").groupBy("g", "w", "w2").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).where(F.col("cosine") >= COSINE)
     return near.select("g", F.col("w").alias("w1"), "w2").unionByName(vocabulary.select("g", F.col("w").alias("w1"), F.col("w").alias("w2")))
@@ -172,7 +174,7 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
     words of its own (titles only) is a person by itself. A group's spellings are clustered in one task; their number
     depends on how many ways its people are typed, not on the rows.
     """
-    rows = spellings(names, group, name)
+    rows = materialize(spellings(names, group, name))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +212,7 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
 
 def found(votes: DataFrame) -> DataFrame:
     """p7_found: every pair of spellings of a court that name the same judge."""
-    people = link(votes, "organo", "section")
+    people = materialize(link(votes, "organo", "section"))
     a = people.select("organo", "person", F.col("section").alias("section_a"))
     b = people.select("organo", "person", F.col("section").alias("section_b"))
     return a.join(b, ["organo", "person"]).where("section_a < section_b").select("organo", "section_a", "section_b")
