@@ -162,7 +162,7 @@ _STARTS = f"""
 l AS (SELECT doc_id, pos, {_STRIP.format('line')} AS s FROM {_LINES}),
 b AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l),
 g AS (SELECT *, sum(CASE WHEN s <> '' AND (p IS NULL OR p = '' OR regexp_matches(p, '[.:?!;]$') OR (upper(s) = s AND lower(s) <> s AND s LIKE '%:' AND length(s) < 50)) THEN 1 ELSE 0 END)
-      OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM b WHERE s <> '' OR TRUE)
+      OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM b)
 """
 
 
