@@ -299,7 +299,8 @@ def unified(files: DataFrame) -> DataFrame:
     """All rulings in one consistent table: (file_id, obj_pos, organo, lote, field_path, value).
 
     Long form, so any court's layout fits; renamed fields carry their newest name, values are JSON text whatever their
-    type was, and the fields of citations hold the array of all citations' values.
+    type was, and the fields of citations hold the array of all citations' values. Null members are rows with the text
+    null; unreadable and null payloads give no rows; a file counts once; rows without organo or lote are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

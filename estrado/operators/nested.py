@@ -152,6 +152,6 @@ def flat_tables(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def found(files: DataFrame) -> DataFrame:
-    """p1_found: every paragraph and every cited article with its place."""
+    """p1_found: every paragraph and every cited article with its place; see ``flat_tables`` for nulls, repeats and the like."""
     of = nodes(files, "parrafo", "articulo", text=False)
     return of.select("file_id", "obj_pos", F.col("table").alias("child"), "i", "j", F.when(F.col("table") == "parrafo", F.col("key")).otherwise(F.col("val")).alias("val"))

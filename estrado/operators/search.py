@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +77,54 @@ def dense(questions: DataFrame, points: DataFrame, vector: str = "embedding", me
     return points.select("key", _doubles(vector).alias("p")).crossJoin(asked).select("qid", "key", F.round(measure(F.col("q"), F.col("p")), 6).alias("score"))
 
 
-def dense_top(questions: DataFrame, points: DataFrame, k: int = K_DENSE, vector: str = "embedding") -> DataFrame:
-    return best(dense(questions, points, vector), k)
+#: Most questions whose vectors travel to the tasks at once.
+BLOCK = 4096
+
+
+def dense_top(questions: DataFrame, points: DataFrame, k: int = K_DENSE, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(qid, key, score, rank) of the k nearest points by cosine, exact; ties go to the smaller key.
+
+    The stated questions go to the tasks in blocks of bounded size; a task multiplies them with each batch of points and
+    passes on k rows a question, so no row per pair is ever made. Null vectors and null keys are left out.
+    """
+    asked = questions.where(F.col(vector).isNotNull() & F.col("qid").isNotNull()).select(F.col("qid").cast("long").alias("qid"), _doubles(vector).alias("v"))
+    some = asked.limit(block + 1).collect()  # at most block + 1 questions
+    rows = points.where(F.col("key").isNotNull() & F.col(vector).isNotNull()).select(F.col("key").cast("long").alias("key"), _doubles(vector).alias("v"))
+    if len(some) <= block:
+        return best(rows.mapInArrow(_nearest_of(some, k), _SCORED), k)
+    count = -(-asked.count() // block)
+    parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == n).collect() for n in range(count)]  # about block questions each, one after the other
+    found = [rows.mapInArrow(_nearest_of(part, k), _SCORED) for part in parts if part]
+    return best(functools.reduce(DataFrame.unionByName, found), k)
+
+
+_SCORED = "qid bigint, key bigint, score double"
+
+
+def _nearest_of(asked: list[Any], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    qids = [r["qid"] for r in asked]
+    vectors = [r["v"] for r in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        if not qids:
+            return
+        q = np.array(vectors, float)
+        q_norm = np.sqrt((q * q).sum(1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            size = np.sqrt((p * p).sum(1))[:, None] * q_norm[None, :]
+            scores = np.round(np.divide(p @ q.T, size, out=np.zeros_like(size), where=size > 0), 6)
+            take = min(k, batch.num_rows)
+            at = np.concatenate([np.lexsort((keys, -scores[:, n]))[:take] for n in range(len(qids))])
+            of = np.repeat(np.arange(len(qids)), take)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, take), pa.int64()), pa.array(keys[at], pa.int64()), pa.array(scores[at, of])], names=["qid", "key", "score"])
+
+    return run
 
 
 def nearest(questions: DataFrame, points: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
@@ -90,7 +138,7 @@ def fuse(dense_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     d = dense_hits.select("qid", "key", F.col("score").alias("d"))
     x = lexical_hits.select("qid", "key", F.col("score").alias("x"))
     score = F.coalesce(F.col("d"), F.col("x")) + F.coalesce(F.col("x") * 0.5, F.lit(0.0))
-    return d.join(x, ["qid", "key"], "full").select("qid", "key", F.round(score, 6).alias("score"), F.col("d").isNotNull().alias("in_dense"), F.col("x").isNotNull().alias("in_lexical"))
+    return d.join(x, ["qid", "key"], "full").select("qid", "key", score.alias("score"), F.col("d").isNotNull().alias("in_dense"), F.col("x").isNotNull().alias("in_lexical"))
 
 
 def boost(question: Column, citations: Column, subject: Column, idea: Column) -> Column:

@@ -44,7 +44,7 @@ def oracle_sql() -> dict[str, str]:
 
 # ---- nested rulings and drift -------------------------------------------------------------------------------------
 
-_RULINGS_SQL = """
+RULINGS_SQL = """
 f AS (SELECT file_id, any_value(payload) AS payload FROM fallos_json WHERE json_valid(payload) GROUP BY file_id),
 r AS (SELECT file_id, generate_subscripts(l, 1) - 1 AS obj_pos, unnest(l) AS o
       FROM (SELECT file_id, CASE WHEN json_type(payload) = 'ARRAY' THEN json_extract(payload, '$[*]') ELSE [payload::JSON] END AS l FROM f)),
@@ -56,7 +56,7 @@ c AS (SELECT file_id, obj_pos, unnest(l) AS cit, generate_subscripts(l, 1) - 1 A
 
 
 @query(f"""
-WITH {_RULINGS_SQL},
+WITH {RULINGS_SQL},
 p AS (SELECT file_id, obj_pos, 'parrafo' AS child, i, unnest(generate_series(0, CASE json_type(v) WHEN 'ARRAY' THEN json_array_length(v)::BIGINT - 1 WHEN 'NULL' THEN -1 ELSE 0 END)) AS j, k AS val FROM v),
 a AS (SELECT file_id, obj_pos, 'articulo' AS child, i, generate_subscripts(l, 1) - 1 AS j, unnest(l) ->> '$' AS val
       FROM (SELECT *, json_extract(cit, '$.cited_articles[*]') AS l FROM c))
@@ -68,7 +68,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_RULINGS_SQL}
+WITH {RULINGS_SQL}
 SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS section_pos, k AS section,
   CASE WHEN json_type(v) = 'NULL' THEN 'nulo' WHEN json_type(v) = 'VARCHAR' THEN 'texto'
     WHEN json_type(v) = 'ARRAY' AND json_array_length(v) = 0 THEN 'lista_vacia'
@@ -82,7 +82,7 @@ def p1_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_RULINGS_SQL}
+WITH {RULINGS_SQL}
 SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS citation_pos, cit ->> '$.main_source' AS main_source FROM c
 """)
 def p1_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_RULINGS_SQL}, pages AS ({_PAGES_SQL})
+WITH {RULINGS_SQL}, pages AS ({_PAGES_SQL})
 SELECT file_id, obj_pos::INT AS obj_pos, section, para_pos::INT AS para_pos,
   {_STRIP.format("array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '" + _NOISE + "')), chr(10))")} AS text
 FROM pages WHERE text IS NOT NULL AND text NOT LIKE '{{%'
@@ -567,7 +567,7 @@ _HYBRID_SQL = f"""
 sim AS (SELECT q.vec_id AS qid, p.vec_id AS key, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
         FROM embeddings p, embeddings q WHERE q.vec_id IN (SELECT qid FROM {_QUESTIONS}) AND p.vec_id IN (SELECT key FROM docs)),
 den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM sim) WHERE rank <= 30),
-fused AS (SELECT qid, key, round(coalesce(d.score, x.score) + coalesce(x.score * 0.5, 0), 6) AS score, d.score IS NOT NULL AS in_dense, x.score IS NOT NULL AS in_lexical
+fused AS (SELECT qid, key, coalesce(d.score, x.score) + coalesce(x.score * 0.5, 0) AS score, d.score IS NOT NULL AS in_dense, x.score IS NOT NULL AS in_lexical
           FROM den d FULL JOIN lex x USING (qid, key))
 """
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -36,6 +37,20 @@ def test_only_the_question_is_lowered(spark):
     assert hits == {1, 2}  # 2 by its small-lettered word only
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_nearest_points_like_all_pairs(spark, block):
+    r = random.Random(2)
+    rows = [(n, [r.gauss(0, 1) for _ in range(8)]) for n in range(60)]
+    rows += [(100, rows[3][1]), (101, [0.0] * 8), (102, None), (None, rows[0][1])]
+    points = spark.createDataFrame(rows, "key long, embedding array<double>")
+    asked = points.where("key % 7 = 0").withColumnRenamed("key", "qid")
+    some = points.where("key is not null and embedding is not null")
+    want = search.best(search.dense(asked, some), 5).select("qid", "key", "score", "rank")
+    got = search.dense_top(asked, points, 5, block=block).select("qid", "key", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert search.dense_top(asked, points.limit(0), 5).count() == 0 and search.dense_top(asked.limit(0), points, 5).count() == 0
+
+
 def test_fusion_weights(spark):
     d = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4)], "qid int, key int, score double")
     x = spark.createDataFrame([(1, 11, 2.0), (1, 12, 3.0)], "qid int, key int, score double")
