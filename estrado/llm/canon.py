@@ -267,7 +267,11 @@ def _sharded(values: DataFrame, entries: DataFrame, value: str, shard: int) -> D
 
 
 def found(citations: DataFrame, quotations: DataFrame, reference: DataFrame) -> DataFrame:
-    """p3_found: the entry meant by every freely typed source."""
+    """p3_found: the entry meant by every freely typed source.
+
+    Null and blank values are no cases; repeated rows give one row; null ids stay null; empty tables give no rows, an
+    empty reference leaves every case unlisted; other columns are ignored.
+    """
     listed = F.broadcast(reference.select(F.col("canonical_name").alias("main_source"))) if reference.limit(SHARD + 1).count() <= SHARD else reference.select(F.col("canonical_name").alias("main_source"))
     filled = lambda c: F.col(c).isNotNull() & (F.regexp_replace(c, r"(?U)\s+", "") != "")
     typed = citations.where(filled("main_source") & (F.col("main_source") != "Otro")).select("cit_id", "main_source").join(listed, "main_source", "left_anti")

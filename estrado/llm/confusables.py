@@ -88,7 +88,11 @@ def alike(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """p10_found: every pair of documents that differ as stored but look the same throughout."""
+    """p10_found: every pair of documents that differ as stored but look the same throughout.
+
+    Null ids and texts have no pairs, copies of the same stored text none with each other; repeated rows count once;
+    an empty text and a blank one look different; empty input gives no rows.
+    """
     rows = alike(documents)
     a = rows.select("class_id", F.col("doc_id").alias("doc_id_a"), F.col("raw_hash").alias("ra"))
     b = rows.select("class_id", F.col("doc_id").alias("doc_id_b"), F.col("raw_hash").alias("rb"))

@@ -50,7 +50,10 @@ def cited_items(citations: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def found(citations: DataFrame, reference: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
-    """p6_found: articles of different sources cited together in at least six rulings and four times as often as by chance."""
+    """p6_found: articles of different sources cited together in at least six rulings and four times as often as by chance.
+
+    Null rulings, sources, lists and articles, and sources that are no canonical name, don't count; repeats count once.
+    """
     items = cited_items(citations, reference).withColumn("item", F.struct("source_id", "article"))
     pairs = cooccurrences(items, "id_fallo", "item", "source_id", least)
     often = pairs.where(F.col("n") * F.col("n_baskets") >= times * F.col("n_a") * F.col("n_b"))

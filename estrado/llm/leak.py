@@ -245,7 +245,7 @@ def _searcher(symbols: dict[str, int], phrases: np.ndarray, owners: np.ndarray,
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """p8_found: every document that has ten consecutive words of an item, with the item."""
+    """p8_found: every document that has ten consecutive words of an item, with the item; see ``leaks`` for nulls and the like."""
     return leaks(documents, items).select("doc_id", "item_id").distinct()
 
 

@@ -167,12 +167,30 @@ def linkage(sims: dict[tuple[int, int], float], n: int, least: float) -> list[in
     return label
 
 
+def components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, name, c): the smallest name that each name of ``rows`` (g, name) reaches over ``edges`` (g, a, b).
+
+    Labels spread to neighbours and from there to the label's own label, so the rounds grow with the logarithm of the
+    longest chain; every round is written, and ends when no label changes.
+    """
+    both = materialize(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = rows.select("g", "name", F.col("name").alias("c"))
+    while True:
+        near = both.join(labels.select("g", F.col("name").alias("b"), "c"), ["g", "b"]).groupBy("g", F.col("a").alias("name")).agg(F.min("c").alias("n"))
+        spread = labels.join(near, ["g", "name"], "left").select("g", "name", F.col("c").alias("old"), F.least("c", "n").alias("c"))
+        jump = labels.select("g", F.col("name").alias("c"), F.col("c").alias("far"))
+        new = materialize(spread.join(jump, ["g", "c"]).select("g", "name", "old", F.least("c", "far").alias("c")))
+        labels = new.select("g", "name", "c")
+        if new.where("c <> old").isEmpty():
+            return labels
+
+
 def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> DataFrame:
     """(group, name, person): every distinct spelling with the person it names, the smallest spelling of its cluster.
 
     Names of different groups are never linked. Repeated rows count once, empty input gives no rows, and a name without
-    words of its own (titles only) is a person by itself. A group's spellings are clustered in one task; their number
-    depends on how many ways its people are typed, not on the rows.
+    words of its own (titles only) is a person by itself. Names that no chain of similar pairs connects are clustered apart,
+    as no linkage could join them: a task sees the spellings of one component, whatever the number of rows.
     """
     rows = materialize(spellings(names, group, name))
 
@@ -197,8 +215,9 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["g", "a", "b", "s"])
 
-    scored = both.mapInArrow(score, "g string, a string, b string, s double")
+    scored = materialize(both.mapInArrow(score, "g string, a string, b string, s double"))
     alone = rows.select("g", F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("s"))
+    pairs = scored.unionByName(alone).join(components(rows, scored).withColumnRenamed("name", "a"), ["g", "a"])
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         known = sorted(set(part["a"]) | set(part["b"]))
@@ -207,11 +226,11 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
         label = linkage(sims, len(known), least)
         return pd.DataFrame({group: part["g"].iloc[0], name: known, "person": [known[i] for i in label]})
 
-    return scored.unionByName(alone).groupBy("g").applyInPandas(cluster, f"`{group}` string, `{name}` string, person string")
+    return pairs.groupBy("g", "c").applyInPandas(cluster, f"`{group}` string, `{name}` string, person string")
 
 
 def found(votes: DataFrame) -> DataFrame:
-    """p7_found: every pair of spellings of a court that name the same judge."""
+    """p7_found: every pair of spellings of a court that name the same judge; see ``link`` for nulls, repeats and the like."""
     people = materialize(link(votes, "organo", "section"))
     a = people.select("organo", "person", F.col("section").alias("section_a"))
     b = people.select("organo", "person", F.col("section").alias("section_b"))

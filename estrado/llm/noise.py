@@ -352,7 +352,13 @@ def _is_own(fixes: Any, half: Any) -> Any:
 
 
 def found(files: DataFrame) -> DataFrame:
-    """p2_found: every flawed line of the scanned paragraphs with its kind."""
+    """p2_found: every flawed line of the scanned paragraphs with its kind.
+
+    A ruling is a scan if any paragraph of the stated sections has several lines; a paragraph of one line can be misread
+    only. Null, empty and non-text paragraphs, null and unreadable payloads give no rows; blank lines are no cases; a file
+    counts once however often it came; lines and paragraphs of any length are read whole; empty input gives no rows;
+    other columns of ``files`` are ignored, whatever their names.
+    """
     parts = materialize(_parts(files, every_line=False), "tag")
     formal = parts.where("tag = 'line' and kind <> ''").select(*KEY, "kind")
     misread = decode(parts.where("tag <> 'line' or kind = ''")).where(_is_own(F.col("fixes"), F.col("b"))).select(*KEY, F.lit("misread").alias("kind"))

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage, and the SQL of those that SQL can say."""
 
 from __future__ import annotations
 
@@ -7,22 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from estrado.llm import canon, confusables, cooccur, leak, mix, names, noise, split
+from estrado.queries import RULINGS_SQL
 from estrado.sources.fallos import read_table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda spark, d: noise.found(read_table(spark, d, "fallos_json")),
+        "p2_repaired": lambda spark, d: noise.repair(read_table(spark, d, "fallos_json")),
         "p3_found": lambda spark, d: canon.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "subsection_citations"), read_table(spark, d, "fuentes_ref")),
         "p5_found": lambda spark, d: split.found(read_table(spark, d, "fallos_json"), read_table(spark, d, "paragraphs")),
+        "p5_pieces": lambda spark, d: split.pieces(read_table(spark, d, "paragraphs").select("para_uid", "section", "text")),
         "p6_found": lambda spark, d: cooccur.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "fuentes_ref")),
         "p7_found": lambda spark, d: names.found(read_table(spark, d, "votos")),
         "p8_found": lambda spark, d: leak.found(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),
+        "p8_spans": lambda spark, d: leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),
         "p9_mix": lambda spark, d: mix.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
         "p9_shares": lambda spark, d: mix.shares(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
         "p10_found": lambda spark, d: confusables.found(read_table(spark, d, "documents")),
+        "p10_normalized": lambda spark, d: confusables.normalize(read_table(spark, d, "documents"), keep=("doc_id",)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": cooccur.FOUND_SQL}
+    return {"p5_found": _p5(), "p6_found": cooccur.FOUND_SQL, "p8_found": _p8(), "p10_found": _p10()}
+
+
+def _p5() -> str:
+    short = "|".join(sorted(split.ABBREVIATIONS))
+    masked = rf"regexp_replace(regexp_replace(text, '(^|[\s(])((?i:{short}))\.', '\1\2_', 'g'), '(^|[\s(])([A-ZÁÉÍÓÚÜÑ])\.', '\1\2_', 'g')"
+    sentences = rf"regexp_replace({masked}, '([.?!])\s+([A-ZÁÉÍÓÚÜÑ])', '\1' || chr(10) || '\2', 'g')"
+    longest = lambda parts: f"list_max(list_transform({parts}, lambda x: length(rtrim(x, ' ' || chr(10)))))"
+    return rf"""
+WITH {RULINGS_SQL},
+p AS (SELECT file_id, obj_pos, k, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS l FROM v WHERE k LIKE '% DIJO'),
+q AS (SELECT file_id, obj_pos, k, generate_subscripts(l, 1) - 1 AS para_pos, unnest(l) AS e FROM p),
+t AS (SELECT 'fallos_json' AS tbl, file_id AS row_id, obj_pos::INT AS obj_pos, k AS section, para_pos::INT AS para_pos, CASE WHEN json_type(e) = 'OBJECT' THEN e ->> '$.texto' ELSE e ->> '$' END AS text FROM q
+      UNION ALL SELECT 'paragraphs', para_uid, 0, section, paragraph_id, text FROM paragraphs)
+SELECT DISTINCT tbl, row_id, obj_pos, section, para_pos, CASE
+  WHEN {longest("string_split(text, chr(10))")} <= 1024 THEN 'linea'
+  WHEN {longest(f"string_split({sentences}, chr(10))")} <= 1024 THEN 'oracion'
+  WHEN {longest(r"regexp_split_to_array(text, '\s+')")} <= 1024 THEN 'palabra' ELSE 'nada' END AS level
+FROM t WHERE length(text) > 1024
+"""
+
+
+def _p8() -> str:
+    marks = "".join([*confusables.LOOKALIKE, confusables.FULL_WIDTH[0]])
+    plain = "".join([*confusables.LOOKALIKE.values(), confusables.FULL_WIDTH[1]]).replace("'", "''")
+    words = rf"regexp_extract_all(lower(strip_accents(regexp_replace(translate(text, '{marks}', '{plain}'), '[{confusables.INVISIBLE}]', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+    grams = lambda table, key: f"(SELECT {key}, unnest(list_transform(range(1, greatest(1, len(w) - 8)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL))"
+    return f"SELECT DISTINCT doc_id, item_id FROM {grams('documents', 'doc_id')} JOIN {grams('eval_items', 'item_id')} USING (g)"
+
+
+def _p10() -> str:
+    return f"""
+WITH n AS (SELECT doc_id, text, {confusables.normal_sql('text')} AS form FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+"""
