@@ -23,15 +23,17 @@ LIMIT, OVERLAP = 1024, 128
 LEVELS = ("linea", "oracion", "palabra", "nada")
 #: Abbreviations whose full stop ends no sentence; fixed values.
 ABBREVIATIONS = frozenset("dr dra dres dras sr sra sres sras srta lic ing arq prof art arts inc incs expte exptes nro nros num no cfr conf cf fs fjs pág págs pag pags vta av ed edit vol tomo cap párr parr ss etc ej vs ob cit op ap sec secc ctes cte reg res dec dto ord ac acum ref ref tel depto prov bco cía cia col gral gob min pte vocal".split())
-_END = re.compile(r"([^\s]*)[.?!][\"'»”)\]]*(\s+)(?=[\"'«“(\[¿¡]*[A-ZÁÉÍÓÚÜÑ])")
+_END = re.compile(r"[.?!][\"'»”)\]]*\s+(?=[\"'«“(\[¿¡]*[A-ZÁÉÍÓÚÜÑ])")
 
 
 def sentence_starts(text: str) -> list[int]:
     """Places where a sentence begins, but for the first."""
     out = []
     for m in _END.finditer(text):
-        word = m[1].lstrip("\"'«“([¿¡-—–")
-        if text[m.end(1)] == ".":
+        at = m.start()
+        if text[at] == ".":
+            begin = 1 + max(text.rfind(c, 0, at) for c in " \n\t")
+            word = text[begin:at].lstrip("\"'«“([¿¡-—–")
             last = word.rpartition(".")[2]
             if last.lower() in ABBREVIATIONS or len(last) == 1 and last.isalpha() and (last.isupper() or "." in word):
                 continue
