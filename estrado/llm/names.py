@@ -13,7 +13,6 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,14 +218,21 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
     alone = rows.select("g", F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("s"))
     pairs = scored.unionByName(alone).join(components(rows, scored).withColumnRenamed("name", "a"), ["g", "a"])
 
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        known = sorted(set(part["a"]) | set(part["b"]))
-        at = {n: i for i, n in enumerate(known)}
-        sims = {(at[a], at[b]): s for a, b, s in zip(part["a"], part["b"], part["s"]) if a != b}
-        label = linkage(sims, len(known), least)
-        return pd.DataFrame({group: part["g"].iloc[0], name: known, "person": [known[i] for i in label]})
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str, str]] = []
+            for g, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                triples = [(x["a"], x["b"], x["s"]) for x in part.as_py()]
+                known = sorted({n for a, b, _ in triples for n in (a, b)})
+                at = {n: i for i, n in enumerate(known)}
+                label = linkage({(at[a], at[b]): s for a, b, s in triples if a != b}, len(known), least)
+                out += [(g, n, known[i]) for n, i in zip(known, label)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "name", "person"])
 
-    return pairs.groupBy("g", "c").applyInPandas(cluster, f"`{group}` string, `{name}` string, person string")
+    held_together = pairs.groupBy("g", "c").agg(F.collect_list(F.struct("a", "b", "s")).alias("e")).select("g", "e")
+    people = held_together.mapInArrow(cluster, "g string, name string, person string")
+    return people.select(F.col("g").alias(group), F.col("name").alias(name), "person")
 
 
 def found(votes: DataFrame) -> DataFrame:
