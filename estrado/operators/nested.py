@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estrado.plans.scratch import materialize
 from estrado.sources.fallos import first_delivery, iter_rulings
 
 NODES = "table string, file_id bigint, obj_pos int, i int, j int, key string, variant string, val string, num bigint"
@@ -125,30 +126,40 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def flat_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """The related flat tables of ``files`` (file_id, payload, recibido_at).
+#: Node kind of each flat table.
+TABLES = {"rulings": "fallo", "sections": "seccion", "paragraphs": "parrafo", "paragraphs_texto": "parrafo", "paragraphs_lista": "parrafo", "paragraphs_objeto": "parrafo", "paragraphs_otro": "parrafo", "citations": "cita", "articles": "articulo"}
+
+
+def flat_tables(files: DataFrame, *names: str) -> dict[str, DataFrame]:
+    """The related flat tables of ``files`` (file_id, payload, recibido_at), all of them or the named ones.
 
     ``rulings`` (file_id, obj_pos) is the root; ``sections`` and ``citations`` link to it; ``articles`` links to
     ``citations`` by i; ``paragraphs`` is the supertype of ``paragraphs_texto``, ``paragraphs_lista``,
     ``paragraphs_objeto`` (which adds ``orden``) and ``paragraphs_otro``, and links to ``sections`` by i.
+    For several tables the payloads are read once and the nodes written in folders by kind, of which each table reads its own.
     Null and empty sections have no paragraphs but keep their row in ``sections``; null elements of a section are no
     paragraphs and keep their place; a null article is a row with null val; unreadable payloads and null payloads give
     no rows; a file counts once; empty input gives empty tables; other columns of ``files`` are ignored.
     """
-    of = nodes(files, "fallo", "seccion", "parrafo", "cita", "articulo")
+    names = names or tuple(TABLES)
+    of = nodes(files, *dict.fromkeys(TABLES[n] for n in names))
+    if len(names) > 1:
+        of = materialize(of, "table")
     link = ["file_id", "obj_pos"]
     paragraphs = of.where("table = 'parrafo'").select(*link, F.col("i").alias("section_pos"), F.col("j").alias("para_pos"), F.col("key").alias("section"), "variant", F.col("val").alias("text"), F.col("num").alias("orden"))
-    return {
+    objects = ("lista_objeto", "lista_mixta", "parrafo")
+    tables = {
         "rulings": of.where("table = 'fallo'").select(*link, F.col("key").alias("id_fallo"), F.col("variant").alias("contenido_variant"), F.col("val").alias("otros")),
         "sections": of.where("table = 'seccion'").select(*link, F.col("i").alias("section_pos"), F.col("key").alias("section"), "variant", F.col("num").alias("n_elements")),
         "paragraphs": paragraphs.drop("orden"),
         "paragraphs_texto": paragraphs.where("variant = 'texto'").drop("orden"),
         "paragraphs_lista": paragraphs.where("variant = 'lista_texto'").drop("orden"),
-        "paragraphs_objeto": paragraphs.where("variant in ('lista_objeto', 'lista_mixta', 'parrafo')"),
-        "paragraphs_otro": paragraphs.where("variant not in ('texto', 'lista_texto', 'lista_objeto', 'lista_mixta', 'parrafo')"),
+        "paragraphs_objeto": paragraphs.where(F.col("variant").isin(*objects)),
+        "paragraphs_otro": paragraphs.where(~F.col("variant").isin("texto", "lista_texto", *objects)),
         "citations": of.where("table = 'cita'").select(*link, F.col("i").alias("citation_pos"), F.col("key").alias("main_source"), F.col("variant").alias("articles_variant"), F.col("val").alias("extra")),
         "articles": of.where("table = 'articulo'").select(*link, F.col("i").alias("citation_pos"), F.col("j").alias("article_pos"), F.col("key").alias("main_source"), F.col("val").alias("article"), F.col("num").alias("article_no")),
     }
+    return {n: tables[n] for n in names}
 
 
 def found(files: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS section_pos, k AS section,
 FROM v
 """)
 def p1_sections(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(read_table(spark, d, "fallos_json"))["sections"].select("file_id", "obj_pos", "section_pos", "section", "variant")
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "sections")["sections"].select("file_id", "obj_pos", "section_pos", "section", "variant")
 
 
 @query(f"""
@@ -86,7 +86,7 @@ WITH {RULINGS_SQL}
 SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS citation_pos, cit ->> '$.main_source' AS main_source FROM c
 """)
 def p1_citations(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(read_table(spark, d, "fallos_json"))["citations"].select("file_id", "obj_pos", "citation_pos", "main_source")
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "citations")["citations"].select("file_id", "obj_pos", "citation_pos", "main_source")
 
 
 @query()
@@ -144,7 +144,7 @@ _PAGES_SQL = f"SELECT file_id, obj_pos, k AS section, generate_subscripts(l, 1)
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """The paragraphs of list sections as pages of lines."""
-    rows = nested.flat_tables(read_table(spark, d, "fallos_json"))["paragraphs"]
+    rows = nested.flat_tables(read_table(spark, d, "fallos_json"), "paragraphs")["paragraphs"]
     return rows.where("variant = 'lista_texto'").select("file_id", "obj_pos", "section", "para_pos", "text")
 
 

@@ -83,5 +83,5 @@ def test_states_of_the_automaton(node, state):
 
 def test_long_text_is_kept_whole(spark):
     text = "palabra " * 200_000
-    out = nested.flat_tables(spark.createDataFrame(rows({"CONTENIDO": {"X": text}}), SCHEMA))["paragraphs"].first()
+    out = nested.flat_tables(spark.createDataFrame(rows({"CONTENIDO": {"X": text}}), SCHEMA), "paragraphs")["paragraphs"].first()
     assert out.text == text
