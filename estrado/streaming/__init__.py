@@ -36,7 +36,7 @@ def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
         state.update(([t for t, _ in held], [x for _, x in held]))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [[x for _, x in held]]})
 
-    return turns.groupBy("conv_id").applyInPandasWithState(update, "conv_id string, turns array<string>", "turn array<bigint>, text array<string>", "update", "NoTimeout")
+    return turns.withColumn("conv_id", F.col("conv_id").cast("string")).groupBy("conv_id").applyInPandasWithState(update, "conv_id string, turns array<string>", "turn array<bigint>, text array<string>", "update", "NoTimeout")
 
 
 def elo(matches: DataFrame) -> DataFrame:
