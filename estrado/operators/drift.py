@@ -32,6 +32,7 @@ RENAMED = 0.47
 #: Lines of more characters have the shape of running text.
 PROSE = 80
 _CITED = "METADATOS.ARTICULOS_CITADOS.citations"
+_PARENTS = frozenset({"METADATOS", "METADATOS.ARTICULOS_CITADOS", "CONTENIDO"})
 _PROFILE = "organo string, lote int, field string, n long, types map<string,long>, place double, chars long, held long, sketch array<long>, shapes map<string,long>"
 _ARROW = pa.schema([("organo", pa.string()), ("lote", pa.int32()), ("field", pa.string()), ("n", pa.int64()), ("types", pa.map_(pa.string(), pa.int64())), ("place", pa.float64()), ("chars", pa.int64()), ("held", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shapes", pa.map_(pa.string(), pa.int64()))])
 
@@ -73,6 +74,37 @@ def fields_of(ruling: dict[str, Any]) -> Iterator[tuple[str, int, list[Any]]]:
         yield f"{_CITED}.{key}", pos, values
 
 
+def members_of(ruling: dict[str, Any]) -> Iterator[tuple[str, Any]]:
+    """(path, value) of everything a ruling holds, for the unified table; ``fields_of`` leaves out what the report does.
+
+    Judges' sections and the other members of ARTICULOS_CITADOS are members like any; an object that holds members has
+    no row of its own, of any other shape (null, text, list, empty) it has one. Of the citations, each member holds the
+    values of all of them; those that are no objects, or empty, are kept in a list under the path of the citations.
+    """
+
+    def walk(path: str, value: Any) -> Iterator[tuple[str, Any]]:
+        if path == _CITED and isinstance(value, list):
+            cited: dict[str, list[Any]] = {}
+            for citation in value:
+                for key, item in citation.items() if isinstance(citation, dict) else ():
+                    cited.setdefault(f"{path}.{key}", []).append(item)
+            rest = [c for c in value if not isinstance(c, dict) or not c]
+            if rest or not value:
+                yield path, rest
+            yield from cited.items()
+        elif path in _PARENTS and isinstance(value, dict) and value:
+            for key, item in value.items():
+                yield from walk(f"{path}.{key}", item)
+        else:
+            yield path, value
+
+    for key, value in ruling.items():
+        if key in ("METADATOS", "CONTENIDO"):
+            yield from walk(key, value)
+        else:
+            yield key, value
+
+
 def _lines(value: Any) -> Iterator[str]:
     if isinstance(value, list):
         for item in value:
@@ -299,8 +331,10 @@ def unified(files: DataFrame) -> DataFrame:
     """All rulings in one consistent table: (file_id, obj_pos, organo, lote, field_path, value).
 
     Long form, so any court's layout fits; renamed fields carry their newest name, values are JSON text whatever their
-    type was, and the fields of citations hold the array of all citations' values. Null members are rows with the text
-    null; unreadable and null payloads give no rows; a file counts once; rows without organo or lote are kept.
+    type was, and the fields of citations hold the array of all citations' values. The table holds all that
+    ``members_of`` finds, judges' sections included, more than the fields of the change report. Null members are rows
+    with the text null; unreadable and null payloads give no rows; a file counts once; rows without organo or lote are
+    kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +344,8 @@ def unified(files: DataFrame) -> DataFrame:
             rows = []
             for row in batch.to_pylist():
                 for pos, ruling in iter_rulings(row["payload"]):
-                    for field, _, values in fields_of(ruling):
-                        rows.append((row["file_id"], pos, row["organo"], row["lote"], field, json.dumps(values if field.startswith(_CITED) else values[0], ensure_ascii=False)))
+                    for field, value in members_of(ruling):
+                        rows.append((row["file_id"], pos, row["organo"], row["lote"], field, json.dumps(value, ensure_ascii=False)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file_id", "obj_pos", "organo", "lote", "field_path", "value"])
 
@@ -319,4 +353,4 @@ def unified(files: DataFrame) -> DataFrame:
     long = source.mapInArrow(run, "file_id bigint, obj_pos int, organo string, lote int, field_path string, value string")
     renames = changes(files).where("change_kind = 'renamed'").groupBy("organo").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "new_path"))).alias("_to"))
     to = F.coalesce(F.try_element_at("_to", F.col("field_path")), F.col("field_path"))
-    return long.join(renames, "organo", "left").withColumn("field_path", to).drop("_to").select("file_id", "obj_pos", "organo", "lote", "field_path", "value")
+    return long.join(F.broadcast(renames), "organo", "left").withColumn("field_path", to).drop("_to").select("file_id", "obj_pos", "organo", "lote", "field_path", "value")

@@ -74,6 +74,27 @@ def test_one_table_under_the_newest_names(spark):
     assert out.count() == 40 and {r.field_path for r in out.select("field_path").distinct().collect()} == {"MATERIA"}
 
 
+def test_unified_table_holds_every_member(spark):
+    rulings = [
+        {"CONTENIDO": {"INICIO": ["a"], "PAZ DIJO": ["b", {"texto": "c"}], "LUZ DIJO": None}, "METADATOS": {"MES": "01", "ARTICULOS_CITADOS": {"total": 3, "citations": [{"main_source": "L"}, None, {"main_source": None, "extra": "x"}]}}},
+        {"CONTENIDO": ["suelto"], "METADATOS": "ilegible"},
+        {"CONTENIDO": None, "METADATOS": {"ARTICULOS_CITADOS": ["L"]}},
+        {"CONTENIDO": {}, "METADATOS": {"ARTICULOS_CITADOS": {"citations": "L"}}},
+        {"CONTENIDO": "x", "METADATOS": {"ARTICULOS_CITADOS": {"citations": []}}},
+    ]
+    out = drift.unified(spark.createDataFrame([(1, "1.json", "A", 1, AT, json.dumps(rulings))], SCHEMA))
+    cited = "METADATOS.ARTICULOS_CITADOS"
+    assert sorted((r.obj_pos, r.field_path, r.value) for r in out.collect()) == sorted([
+        (0, "CONTENIDO.INICIO", '["a"]'), (0, "CONTENIDO.PAZ DIJO", '["b", {"texto": "c"}]'), (0, "CONTENIDO.LUZ DIJO", "null"), (0, "METADATOS.MES", '"01"'),
+        (0, f"{cited}.total", "3"), (0, f"{cited}.citations", "[null]"), (0, f"{cited}.citations.main_source", '["L", null]'), (0, f"{cited}.citations.extra", '["x"]'),
+        (1, "CONTENIDO", '["suelto"]'), (1, "METADATOS", '"ilegible"'),
+        (2, "CONTENIDO", "null"), (2, cited, '["L"]'),
+        (3, "CONTENIDO", "{}"), (3, f"{cited}.citations", '"L"'),
+        (4, "CONTENIDO", '"x"'), (4, f"{cited}.citations", "[]"),
+    ])
+    assert {f for ruling in rulings for f, _, _ in drift.fields_of(ruling)} == {"CONTENIDO.INICIO", "METADATOS.MES", f"{cited}.citations.main_source", f"{cited}.citations.extra"}
+
+
 def test_matching_is_of_greatest_weight():
     assert sorted(drift.best_matching([[0.9, 0.8], [0.8, 0.1]], 0.3)) == [(0, 1), (1, 0)]
     assert drift.best_matching([[0.2]], 0.3) == []
