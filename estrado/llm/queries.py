@@ -17,7 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_repaired": lambda spark, d: noise.repair(read_table(spark, d, "fallos_json")),
         "p3_found": lambda spark, d: canon.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "subsection_citations"), read_table(spark, d, "fuentes_ref")),
         "p5_found": lambda spark, d: split.found(read_table(spark, d, "fallos_json"), read_table(spark, d, "paragraphs")),
-        "p5_pieces": lambda spark, d: split.pieces(read_table(spark, d, "paragraphs").select("para_uid", "section", "text")),
+        "p5_pieces": lambda spark, d: split.all_pieces(read_table(spark, d, "fallos_json"), read_table(spark, d, "paragraphs")),
         "p6_found": lambda spark, d: cooccur.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "fuentes_ref")),
         "p7_found": lambda spark, d: names.found(read_table(spark, d, "votos")),
         "p8_found": lambda spark, d: leak.found(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),

@@ -134,7 +134,7 @@ def pieces(items: DataFrame, text: str = "text", limit: int = LIMIT, overlap: in
 
 
 def opinions(files: DataFrame, limit: int) -> DataFrame:
-    """(row_id, obj_pos, section, para_pos, text): the paragraphs over ``limit`` of the judges' sections."""
+    """(row_id, obj_pos, section, para_pos, text): the paragraphs over ``limit`` of the judges' sections; all but nulls at -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def opinions(files: DataFrame, limit: int) -> DataFrame:
                         if section.endswith(" DIJO"):
                             for k, item in enumerate(value if isinstance(value, list) else [value]):
                                 text = paragraph_text(item)
-                                if text and len(text) > limit:
+                                if text is not None and len(text) > limit:
                                     rows.append((file_id, pos, section, k, text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()))], names=["row_id", "obj_pos", "section", "para_pos", "text"])
@@ -153,9 +153,19 @@ def opinions(files: DataFrame, limit: int) -> DataFrame:
     return first_delivery(files).mapInArrow(run, "row_id bigint, obj_pos int, section string, para_pos int, text string")
 
 
+def items(files: DataFrame, paragraphs: DataFrame, limit: int) -> DataFrame:
+    """(tbl, row_id, obj_pos, section, para_pos, text): the paragraphs over ``limit`` of both tables; all but nulls at -1."""
+    a = opinions(files, limit).select(F.lit("fallos_json").alias("tbl"), "row_id", "obj_pos", "section", "para_pos", "text")
+    b = paragraphs.where(F.length("text") > limit).select(F.lit("paragraphs").alias("tbl"), F.col("para_uid").alias("row_id"), F.lit(0).alias("obj_pos"), "section", F.col("paragraph_id").cast("int").alias("para_pos"), "text")
+    return a.unionByName(b)
+
+
+def all_pieces(files: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """p5_pieces: the pieces of the judges' paragraphs and of ``paragraphs``, with their place as in ``found``; short ones are one piece."""
+    return pieces(items(files, paragraphs, -1))
+
+
 def found(files: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """p5_found: every oversize paragraph and the boundaries that suffice for it."""
-    a = opinions(files, LIMIT).select(F.lit("fallos_json").alias("tbl"), "row_id", "obj_pos", "section", "para_pos", "text")
-    b = paragraphs.where(F.length("text") > LIMIT).select(F.lit("paragraphs").alias("tbl"), F.col("para_uid").alias("row_id"), F.lit(0).alias("obj_pos"), "section", F.col("paragraph_id").cast("int").alias("para_pos"), "text")
-    cut = pieces(a.unionByName(b), only_long=True, with_text=False)
+    cut = pieces(items(files, paragraphs, LIMIT), only_long=True, with_text=False)
     return cut.where("piece = 0").select("tbl", "row_id", "obj_pos", "section", "para_pos", "level").distinct()

@@ -63,3 +63,19 @@ def test_found(spark):
     paragraphs = spark.createDataFrame([(9, "S", 4, SENTENCE * 20), (9, "S", 4, SENTENCE * 20), (8, None, None, "a" * 1025), (7, "S", 1, None)], "para_uid bigint, section string, paragraph_id int, text string")
     got = {tuple(r) for r in split.found(files, paragraphs).collect()}
     assert got == {("fallos_json", 1, 0, "PAZ DIJO", 1, "oracion"), ("fallos_json", 1, 0, "LUZ DIJO", 0, "nada"), ("paragraphs", 9, 0, "S", 4, "oracion"), ("paragraphs", 8, 0, None, None, "nada")}
+
+
+def test_pieces_of_both_tables(spark, tmp_path):
+    from estrado.llm import queries
+
+    long = SENTENCE * 30
+    payload = json.dumps([{"CONTENIDO": {"PAZ DIJO": ["x", long, None, {"texto": long}], "LUZ DIJO": "", "INICIO": [long]}}])
+    spark.createDataFrame([(1, datetime(2024, 1, 1), payload), (1, datetime(2024, 1, 2), payload)], "file_id bigint, recibido_at timestamp, payload string").write.parquet(f"{tmp_path}/fallos_json.parquet")
+    spark.createDataFrame([(9, "S", 4, long), (8, None, None, "corto"), (7, "S", 1, None)], "para_uid bigint, section string, paragraph_id int, text string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    out = {}
+    for r in queries.queries()["p5_pieces"](spark, str(tmp_path)).orderBy("piece").collect():
+        assert r.piece_end - r.piece_start == len(r.piece_text) <= 1024 and r.own_start - r.piece_start <= 128
+        key = (r.tbl, r.row_id, r.obj_pos, r.section, r.para_pos)
+        out[key] = out.get(key, "") + r.piece_text[r.own_start - r.piece_start :]
+    want = {("PAZ DIJO", 0): "x", ("PAZ DIJO", 1): long, ("PAZ DIJO", 3): long, ("LUZ DIJO", 0): ""}
+    assert out == {("fallos_json", 1, 0, *k): v for k, v in want.items()} | {("paragraphs", 9, 0, "S", 4): long, ("paragraphs", 8, 0, None, None): "corto"}
