@@ -158,6 +158,25 @@ def noise_line_filter(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where("text not like '{%'").withColumn("text", T.drop_noise_lines(F.col("text")))
 
 
+_ELEMENTS_SQL = """
+SELECT file_id, obj_pos, i AS section_pos, k AS section, j AS para_pos, CASE WHEN json_type(e, '$.texto') = 'VARCHAR' THEN e ->> '$.texto' ELSE e ->> '$' END AS text
+FROM (SELECT file_id, obj_pos, i, k, generate_subscripts(l, 1) - 1 AS j, unnest(l) AS e
+      FROM (SELECT *, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS l FROM v)) WHERE json_type(e) <> 'NULL'
+"""
+
+
+@query(f"""
+WITH {RULINGS_SQL}, pages AS ({_ELEMENTS_SQL})
+SELECT file_id, obj_pos::INT AS obj_pos, section_pos::INT AS section_pos, section, para_pos::INT AS para_pos,
+  {_STRIP.format("array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '" + _NOISE + "')), chr(10))")} AS text
+FROM pages
+""")
+def noise_line_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    """The filter over every paragraph, bare strings, objects and mixed lists included; ``noise_line_filter`` has text lists only, as its SQL."""
+    rows = nested.flat_tables(read_table(spark, d, "fallos_json"), "paragraphs")["paragraphs"].where("text is not null")
+    return rows.select("file_id", "obj_pos", "section_pos", "section", "para_pos", T.drop_noise_lines(F.col("text")).alias("text"))
+
+
 _STARTS = f"""
 l AS (SELECT doc_id, pos, {_STRIP.format('line')} AS s FROM {_LINES}),
 b AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l),

@@ -85,3 +85,13 @@ def test_long_text_is_kept_whole(spark):
     text = "palabra " * 200_000
     out = nested.flat_tables(spark.createDataFrame(rows({"CONTENIDO": {"X": text}}), SCHEMA), "paragraphs")["paragraphs"].first()
     assert out.text == text
+
+
+def test_noise_lines_of_every_paragraph(spark, tmp_path):
+    from estrado import queries
+
+    page = "Poder Judicial de X\nEl texto"
+    payload = json.dumps({"CONTENIDO": {"BARE": page, "LISTA": [page, None, "{sic"], "OBJETO": [{"texto": page, "orden": 1}], "MIXTA": [page, {"texto": page}], "NULA": None, "VACIA": []}})
+    spark.createDataFrame([(1, None, payload)], "file_id bigint, recibido_at timestamp, payload string").write.parquet(f"{tmp_path}/fallos_json.parquet")
+    got = {(r.section, r.para_pos, r.text) for r in queries.queries()["noise_line_filter_all"](spark, str(tmp_path)).collect()}
+    assert got == {("BARE", 0, "El texto"), ("LISTA", 0, "El texto"), ("LISTA", 2, "{sic"), ("OBJETO", 0, "El texto"), ("MIXTA", 0, "El texto"), ("MIXTA", 1, "El texto")}
