@@ -7,6 +7,7 @@ are dense points (a document's where the ids agree), and events are the ordered
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,15 +68,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.found(read_table(spark, d, "fallos_json"))
 
 
+# States of a list: the set of its elements' types, nulls aside; an object with a textual texto is a paragraph.
+_STATES_SQL = """
+CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN 'nulo' WHEN json_type(v) = 'VARCHAR' THEN 'texto' WHEN json_type(v) = 'BOOLEAN' THEN 'logico'
+  WHEN json_type(v) = 'OBJECT' THEN CASE WHEN json_type(v, '$.texto') = 'VARCHAR' THEN 'parrafo' ELSE 'objeto' END
+  WHEN json_type(v) <> 'ARRAY' THEN 'numero' WHEN json_array_length(v) = 0 THEN 'lista_vacia' WHEN len(e) = 0 THEN 'lista_nula'
+  WHEN len(e) > 1 THEN CASE WHEN len(list_filter(e, lambda x: x NOT IN ('texto', 'parrafo'))) = 0 THEN 'lista_mixta' ELSE 'lista_otro' END
+  WHEN e[1] = 'texto' THEN 'lista_texto' WHEN e[1] = 'numero' THEN 'lista_numero' WHEN e[1] = 'parrafo' THEN 'lista_objeto' ELSE 'lista_otro' END
+"""
+_ELEMENTS_SQL = """
+list_distinct(list_filter(list_transform(json_extract(v, '$[*]'), lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN 'texto' WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN 'lista' WHEN 'BOOLEAN' THEN 'logico'
+  WHEN 'OBJECT' THEN CASE WHEN json_type(x, '$.texto') = 'VARCHAR' THEN 'parrafo' ELSE 'objeto' END ELSE 'numero' END), lambda x: x IS NOT NULL)) AS e
+"""
+
+
 @query(f"""
 WITH {RULINGS_SQL}
-SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS section_pos, k AS section,
-  CASE WHEN json_type(v) = 'NULL' THEN 'nulo' WHEN json_type(v) = 'VARCHAR' THEN 'texto'
-    WHEN json_type(v) = 'ARRAY' AND json_array_length(v) = 0 THEN 'lista_vacia'
-    WHEN json_type(v) = 'ARRAY' AND len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN 'lista_texto'
-    WHEN json_type(v) = 'ARRAY' AND len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0 THEN 'lista_objeto'
-    ELSE 'otro' END AS variant
-FROM v
+SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS section_pos, k AS section, {_STATES_SQL} AS variant FROM (SELECT *, {_ELEMENTS_SQL} FROM v)
 """)
 def p1_sections(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_tables(read_table(spark, d, "fallos_json"), "sections")["sections"].select("file_id", "obj_pos", "section_pos", "section", "variant")
@@ -89,6 +98,50 @@ def p1_citations(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_tables(read_table(spark, d, "fallos_json"), "citations")["citations"].select("file_id", "obj_pos", "citation_pos", "main_source")
 
 
+@query(f"""
+WITH {RULINGS_SQL}
+SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS citation_pos, (generate_subscripts(l, 1) - 1)::INT AS article_pos, main_source, unnest(l) ->> '$' AS article
+FROM (SELECT *, cit ->> '$.main_source' AS main_source, json_extract(cit, '$.cited_articles[*]') AS l FROM c)
+""")
+def p1_articles(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "articles")["articles"].drop("article_no")
+
+
+@query(f"""
+WITH {RULINGS_SQL},
+t AS (SELECT *, {_STATES_SQL} AS variant FROM (SELECT *, {_ELEMENTS_SQL} FROM v)),
+p AS (SELECT CASE WHEN variant = 'texto' THEN 'paragraphs_texto' WHEN variant = 'lista_texto' THEN 'paragraphs_lista' WHEN variant IN ('lista_objeto', 'lista_mixta', 'parrafo') THEN 'paragraphs_objeto' ELSE 'paragraphs_otro' END AS subtype,
+        CASE WHEN json_type(v) = 'ARRAY' THEN len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'NULL')) ELSE 1 END AS n FROM t WHERE variant <> 'nulo'),
+q AS (SELECT CASE WHEN len(list_filter(json_extract(cit, '$.cited_articles[*]'), lambda x: json_type(x) <> 'NULL')) > 0 THEN 'citations_articulos' ELSE 'citations_sin_articulos' END AS subtype FROM c WHERE json_type(cit) = 'OBJECT')
+SELECT subtype, sum(n)::BIGINT AS n FROM p GROUP BY subtype HAVING sum(n) > 0 UNION ALL SELECT subtype, count(*) FROM q GROUP BY subtype
+""")
+def p1_variants(spark: SparkSession, d: str) -> DataFrame:
+    names = (*nested.SUBTYPES["paragraphs"], *nested.SUBTYPES["citations"])
+    tables = nested.flat_tables(read_table(spark, d, "fallos_json"), *names)
+    parts = [tables[n].select(F.lit(n).alias("subtype")) for n in names]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("subtype").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {RULINGS_SQL}
+SELECT file_id, obj_pos::INT AS obj_pos, i::INT AS section_pos, k AS section, j::INT AS para_pos, CASE WHEN json_type(x, '$.texto') = 'VARCHAR' THEN x ->> '$.texto' ELSE x ->> '$' END AS text
+FROM (SELECT *, generate_subscripts(l, 1) - 1 AS j, unnest(l) AS x FROM (SELECT *, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS l FROM v))
+WHERE json_type(x) <> 'NULL'
+""")
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "paragraphs")["paragraphs"].drop("variant")
+
+
+@query("SELECT DISTINCT file_id, 'ilegible' AS reason, payload FROM fallos_json WHERE payload <> '' AND NOT json_valid(payload)")
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "rejects")["rejects"]
+
+
+@query()
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_tables(read_table(spark, d, "fallos_json"), "members")["members"]
+
+
 @query()
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(read_table(spark, d, "fallos_json"))

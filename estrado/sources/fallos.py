@@ -3,36 +3,131 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estrado.plans.scratch import materialize
+
+#: Most ids of files delivered again that are broadcast; beyond it every payload goes through the aggregate.
+AGAIN = 1_000_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_id: str = "file_id", at: str = "recibido_at") -> DataFrame:
-    """One row per file: (file_id, payload, *keep) of the earliest delivery.
+def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_id: str = "file_id", at: str = "recibido_at", most: int = AGAIN) -> DataFrame:
+    """One row per file: (file_id, payload, *keep) of the earliest delivery that has a payload.
 
-    A file delivered twice counts once. The aggregate combines on the map side, so a file delivered any number of
-    times sends one row per map task. Ties in time take the smallest payload hash; rows without a file_id are told
-    apart by their payload; rows without a payload are dropped, as they hold no ruling.
+    The ids delivered more than once are counted first, from the id column alone. Files that came once are passed on
+    where they lie; only the others, and rows without an id (told apart by their payload), are aggregated, which combines
+    on the map side. Ties in time take the smallest payload hash; rows without a payload are dropped, as they hold no
+    ruling. With more than ``most`` such ids all files are aggregated, with the same result.
     """
     cols = list(dict.fromkeys([payload, *keep]))
+    again = files.groupBy(F.col(file_id).alias("_again")).agg(F.count("*").alias("n")).where("n > 1 or _again is null").select("_again")
+    again = materialize(again)
+    count = again.count()
     some = files.where(F.col(payload).isNotNull() & (F.length(payload) > 0))
     key = F.when(F.col(file_id).isNull(), F.xxhash64(payload))
-    some = some.select(F.col(file_id).alias("file_id"), key.alias("_k"), F.struct(F.col(at).alias("a"), F.xxhash64(payload).alias("h")).alias("_o"), F.struct(*[F.col(c) for c in cols]).alias("_v"))
-    return some.groupBy("file_id", "_k").agg(F.min_by("_v", "_o").alias("_v")).select("file_id", *[F.col(f"_v.{c}").alias("payload" if c == payload else c) for c in cols])
+    values = F.struct(*[F.col(c).alias("payload" if c == payload else c) for c in cols])
+    some = some.select(F.col(file_id).alias("file_id"), key.alias("_k"), F.struct(F.col(at).alias("a"), F.xxhash64(payload).alias("h")).alias("_o"), values.alias("_v"))
+    out = ["file_id", *[F.col(f"_v.{'payload' if c == payload else c}") for c in cols]]
+    if not count:
+        return some.select(*out)
+    if count > most:
+        return _earliest(some).select(*out)
+    same = F.col("file_id").eqNullSafe(F.col("_again"))
+    once = some.join(F.broadcast(again), same, "left_anti")  # at most ``most`` ids
+    more = some.join(F.broadcast(again), same, "left_semi")
+    return once.select(*out).unionByName(_earliest(more).select(*out))
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file_id", "_k").agg(F.min_by("_v", "_o").alias("_v"))
+
+
+_TOKEN = re.compile(r'[ \t\r\n]*([\[\]{},:]|"(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+)', re.S)
+
+
+def parse(text: str) -> Any:
+    """The value of a JSON text of any depth; ValueError if it is none."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str) -> Any:
+    """``parse`` with a stack of its own: open lists and objects, and the key a value is waited for."""
+    root: list[Any] = []
+    stack: list[tuple[Any, list[str]]] = [(root, [])]
+    at, size, wants = 0, len(text.rstrip()), "value"
+    while at < size:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError("no JSON")
+        at, token = m.end(), m[1]
+        into, key = stack[-1]
+        if token == ":" and wants == "colon":
+            wants = "value"
+        elif token == "," and wants == "end" and len(stack) > 1:
+            wants = "key" if isinstance(into, dict) else "value"
+        elif token in "]}" and len(stack) > 1 and (token == "}") == isinstance(into, dict) and (wants == "end" or not into and wants in ("key", "value") and not key):
+            stack.pop()
+            wants = "end"
+        elif wants == "key" and token[0] == '"':
+            key.append(json.loads(token))
+            wants = "colon"
+        elif wants == "value" and token not in ("]", "}", ",", ":"):
+            new = [] if token == "[" else {} if token == "{" else json.loads(token)
+            if isinstance(into, dict):
+                into[key.pop()] = new
+            else:
+                into.append(new)
+            wants = "end"
+            if token in ("[", "{"):
+                stack.append((new, []))
+                wants = "key" if token == "{" else "value"
+        else:
+            raise ValueError("no JSON")
+    if len(stack) > 1 or len(root) != 1:
+        raise ValueError("no JSON")
+    return root[0]
+
+
+def dumps(value: Any) -> str:
+    """The JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[Any] = [(value, None)]
+    while todo:
+        node, literal = todo.pop()
+        if literal is not None:
+            out.append(literal)
+        elif isinstance(node, dict):
+            parts = [p for k, v in node.items() for p in ((None, ", "), (None, f"{json.dumps(k, ensure_ascii=False)}: "), (v, None))][1:]
+            todo += [(None, "}"), *reversed(parts), (None, "{")]
+        elif isinstance(node, list):
+            parts = [p for v in node for p in ((None, ", "), (v, None))][1:]
+            todo += [(None, "]"), *reversed(parts), (None, "[")]
+        else:
+            out.append(json.dumps(node, ensure_ascii=False))
+    return "".join(out)
 
 
 def iter_rulings(payload: str | None) -> Iterator[tuple[int, dict[str, Any]]]:
     """(place in the payload, ruling) of every ruling object; nothing for an unreadable payload."""
     try:
-        root = json.loads(payload)
-    except (ValueError, TypeError, RecursionError):
+        root = parse(payload)
+    except (ValueError, TypeError):
         return
     if isinstance(root, dict):
         yield 0, root

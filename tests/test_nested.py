@@ -69,13 +69,14 @@ def test_children_link_to_parents_and_variants_split_the_paragraphs(spark):
     assert tables["articles"].join(tables["citations"], [*link, "citation_pos"], "left_anti").count() == 0
     parts = [tables[f"paragraphs_{v}"].count() for v in ("texto", "lista", "objeto", "otro")]
     assert parts == [3, 3, 6, 0] and sum(parts) == tables["paragraphs"].count()
+    assert tables["citations_articulos"].count() + tables["citations_sin_articulos"].count() == tables["citations"].count()
     assert {r.orden for r in tables["paragraphs_objeto"].collect()} == {None, 2}
     assert {r.article_no for r in tables["articles"].collect()} == {3, 4, None}
 
 
 @pytest.mark.parametrize(
     ("node", "state"),
-    [(None, "nulo"), ("x", "texto"), (True, "logico"), (1.5, "numero"), ({}, "objeto"), ({"texto": "x"}, "parrafo"), ({"texto": 1}, "objeto"), ([], "lista_vacia"), (["a", None], "lista_texto"), ([{"texto": "a"}, "b"], "lista_mixta"), ([[1]], "lista_otro"), ([None], "lista_nula")],
+    [(None, "nulo"), ("x", "texto"), (True, "logico"), (1.5, "numero"), ({}, "objeto"), ({"texto": "x"}, "parrafo"), ({"texto": 1}, "objeto"), ([], "lista_vacia"), (["a", None], "lista_texto"), ([{"texto": "a"}, "b"], "lista_mixta"), ([[1]], "lista_otro"), ([None], "lista_nula"), ([1, None], "lista_numero"), ({"cited_articles": [], "extra": None}, "cita"), ([{"extra": 1}], "lista_cita"), ({"CONTENIDO": {}}, "fallo"), ({"METADATOS": {"citations": [{}]}}, "fallo")],
 )
 def test_states_of_the_automaton(node, state):
     assert nested.state(node) == state
@@ -95,3 +96,58 @@ def test_noise_lines_of_every_paragraph(spark, tmp_path):
     spark.createDataFrame([(1, None, payload)], "file_id bigint, recibido_at timestamp, payload string").write.parquet(f"{tmp_path}/fallos_json.parquet")
     got = {(r.section, r.para_pos, r.text) for r in queries.queries()["noise_line_filter_all"](spark, str(tmp_path)).collect()}
     assert got == {("BARE", 0, "El texto"), ("LISTA", 0, "El texto"), ("LISTA", 2, "{sic"), ("OBJETO", 0, "El texto"), ("MIXTA", 0, "El texto"), ("MIXTA", 1, "El texto")}
+
+
+def test_nodes_nested_thousands_deep(spark):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    payload = f'{{"CONTENIDO": {{"X": {deep}, "Y": ["p"]}}, "METADATOS": {{"ID_FALLO": "9", "HONDO": {deep}}}}}'
+    tables = nested.flat_tables(spark.createDataFrame(rows(payload, {"CONTENIDO": {"Z": "q"}}), SCHEMA))
+    got = {(r.file_id, r.section, len(r.text)) for r in tables["paragraphs"].collect()}
+    assert got == {(1, "X", 39_999), (1, "Y", 1), (2, "Z", 1)}
+    assert tables["members"].where("key = 'METADATOS.HONDO'").count() == 1 and tables["members"].where("pos is null").count() == 20_001
+    assert tables["rejects"].count() == 0
+
+
+def test_members_keep_every_leaf_and_their_parents(spark):
+    ruling = {"METADATOS": {"ID_FALLO": "7", "ORIGEN": {"sala": "II", "jueces": ["a", {"b": None}]}, "ARTICULOS_CITADOS": {"total": 2, "citations": {"main_source": "L", "cited_articles": [1], "extra": ["x", "y"], "nota": 5}}}, "FIRMADO": True, "CONTENIDO": {"A": [{"texto": "t", "folio": 3}, ["suelto"]]}}
+    tables = nested.flat_tables(spark.createDataFrame(rows(ruling), SCHEMA))
+    members = [r.asDict() for r in tables["members"].collect()]
+    at = {r["node"]: r for r in members}
+    path = lambda r: (path(at[r["parent"]]) + "/" if r["parent"] is not None else "") + r["key"]
+    leaves = {(path(r), r["pos"], r["sub_pos"], r["value"]) for r in members if r["variant"] not in ("objeto", "lista")}
+    assert leaves == {
+        ("METADATOS.ORIGEN/sala", None, None, "II"), ("METADATOS.ORIGEN/jueces/0", None, None, "a"), ("METADATOS.ORIGEN/jueces/1/b", None, None, None), ("METADATOS.ARTICULOS_CITADOS.total", None, None, "2"),
+        ("FIRMADO", None, None, "true"), ("citations.extra/0", 0, None, "x"), ("citations.extra/1", 0, None, "y"), ("citations.nota", 0, None, "5"), ("CONTENIDO.A.folio", 0, 0, "3"), ("CONTENIDO.A/0", 0, 1, "suelto"),
+    }
+    assert [r.article for r in tables["articles"].collect()] == ["1"]
+
+
+def test_rejects_name_their_reason(spark):
+    tables = nested.flat_tables(spark.createDataFrame(rows("{broken", "12", [RULING, 5], RULING, None, ""), SCHEMA), "rejects")
+    assert {(r.file_id, r.reason) for r in tables["rejects"].collect()} == {(1, "ilegible"), (2, "sin_objeto"), (3, "sin_objeto")}
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, {"b": null}, "x\\"]"], "c": {}}', "[]", "[[], {}]", '"x"', " 1 "])
+def test_deep_parser_agrees_with_the_plain_one(text):
+    from estrado.sources import fallos
+
+    assert fallos._parse_deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "[", "]", '{"a":[}', "[1]]", "{1: 2}", "nul", '[1]{"a":2}'])
+def test_deep_parser_refuses_what_is_no_json(text):
+    from estrado.sources import fallos
+
+    with pytest.raises(ValueError):
+        fallos._parse_deep(text)
+
+
+def test_first_delivery_by_either_way(spark):
+    from estrado.sources import fallos
+
+    late = datetime(2025, 1, 1)
+    data = [(1, "a", AT), (1, "a", late), (2, "b", AT), (3, None, AT), (3, "c", late), (4, "", AT), (None, "x", AT), (None, "x", AT), (None, "y", None), (5, "d", None), (5, "e", AT), (6, "f", AT), (6, "f", AT)]
+    df = spark.createDataFrame(data, "file_id bigint, payload string, recibido_at timestamp")
+    want = sorted([("1", "a"), ("2", "b"), ("3", "c"), ("None", "x"), ("None", "y"), ("5", "d"), ("6", "f")])
+    for most in (fallos.AGAIN, 1):
+        assert sorted((str(r[0]), r[1]) for r in fallos.first_delivery(df, most=most).collect()) == want
