@@ -1,50 +1,95 @@
 """Problem 7: variant spellings of people's names, linked to one person per group (a court).
 
-Names are cleaned of titles and cut into words. Words are vectors of character n-grams weighted by inverse document
-frequency; a sparse join over the n-grams gives all pairs of words of a group above a cosine. Pairs of names that share
-such a word are scored by aligning all their words (typos, initials, short forms, order), and average-linkage
-clustering over these scores yields the people.
+A name, cleaned of titles, is one vector of the character n-grams of its words, weighted by inverse document frequency;
+n-grams don't cross words, so the order of the words is free. A sparse join over the n-grams finds every pair of names of
+a group whose cosine reaches a threshold. An exact check then takes out pairs that contradict each other (both hold a
+word the other can't explain, or their titles tell another gender): namesakes differ in a few letters only. Average-linkage
+clustering over the cosines that are left yields the people.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estrado.plans.pairs import pairs_within
 from estrado.plans.scratch import materialize
 
-#: Cosine of the n-gram vectors from which two words may be one; every pair above it is looked at.
-COSINE = 0.3
-#: Mean similarity between clusters down to which they are joined.
-LINKAGE = 0.45
+#: Least cosine of two names that may be one person's; every pair above it is looked at.
+COSINE = 0.15
+#: Mean cosine between clusters down to which they are joined; pairs that contradict each other count 0.
+LINKAGE = 0.22
+#: Most linked pairs of a component that one task clusters; larger components are clustered by rounds over tables.
+BIG = 200_000
 #: Titles and what else stands around a name, with the gender they tell; fixed values.
 TITLES = {"dr": "m", "dres": "m", "doctor": "m", "sr": "m", "senor": "m", "don": "m", "juez": "m", "dra": "f", "doctora": "f", "sra": "f", "srta": "f", "senora": "f", "dona": "f", "jueza": "f", "vocal": "", "vocales": "", "magistrado": "m", "magistrada": "f", "presidente": "", "presidenta": "f", "ministro": "m", "ministra": "f", "camarista": "", "lic": "", "el": "", "la": "", "dijo": "", "dice": "", "voto": "", "ponente": "", "de": "", "del": "", "los": "", "las": "", "y": ""}
-#: Short forms and the given names they stand for; fixed values.
+#: Usual Spanish familiar forms that are no beginning of the given names they stand for; fixed values, a parameter of ``link``.
 NICKNAMES = {
-    "ale": "alejandro alejandra", "alita": "alicia", "ana": "anabella", "andy": "andres", "bea": "beatriz", "beto": "alberto roberto norberto", "betty": "beatriz", "caro": "carolina", "cacho": "carlos", "carlitos": "carlos", "charo": "rosario",
-    "chela": "graciela marcela", "chelo": "marcelo", "coca": "jorgelina", "concha": "concepcion", "conchita": "concepcion", "dani": "daniel daniela", "edu": "eduardo", "fede": "federico", "fer": "fernando fernanda", "fito": "adolfo rodolfo",
-    "gabi": "gabriel gabriela", "gaby": "gabriel gabriela", "gordo": "", "gra": "graciela", "guille": "guillermo guillermina", "guillo": "guillermo", "isa": "isabel", "javi": "javier", "joaco": "joaquin", "juanca": "juan", "julian": "julian", "lala": "laura", "lali": "laura",
-    "lalo": "eduardo gonzalo", "lito": "carlos manuel", "lola": "dolores", "lolita": "dolores", "loli": "dolores", "lucho": "luis", "lucha": "lucia luisa", "luchi": "lucia luisa", "lula": "luisa", "luli": "lucia luisa", "maca": "macarena", "manolo": "manuel", "mari": "maria marina marisa", "mariu": "maria", "panchita": "francisca", "martincho": "martin", "tincho": "martin agustin", "martu": "martina", "reni": "renata",
-    "meche": "mercedes", "mecha": "mercedes", "mercedita": "mercedes", "memo": "guillermo", "mimi": "miriam", "moni": "monica", "nacho": "ignacio", "nico": "nicolas", "nando": "fernando", "negra": "", "neneca": "", "pacho": "francisco", "paco": "francisco", "pancho": "francisco", "pato": "patricio patricia",
-    "pepa": "josefa", "pepe": "jose", "pepito": "jose", "pili": "pilar", "pipo": "", "pocho": "", "quico": "enrique francisco", "quique": "enrique", "rafa": "rafael", "ramoncito": "ramon", "rena": "renata", "rochi": "rocio", "santi": "santiago", "seba": "sebastian", "silvi": "silvia",
-    "susi": "susana", "tere": "teresa", "teresita": "teresa", "tati": "tatiana", "tito": "alberto ernesto roberto", "tomi": "tomas", "toto": "antonio", "tono": "antonio", "tony": "antonio", "vero": "veronica", "vicky": "victoria", "willy": "guillermo", "yago": "santiago", "jaco": "jacobo", "tiago": "santiago",
+    "alita": "alicia", "beto": "alberto roberto norberto", "betty": "beatriz", "cacho": "carlos", "charo": "rosario", "chela": "graciela marcela", "chelo": "marcelo", "coca": "jorgelina", "concha": "concepcion", "conchita": "concepcion",
+    "fito": "adolfo rodolfo", "isa": "isabel", "juanca": "juan", "lala": "laura", "lali": "laura", "lalo": "eduardo gonzalo", "lito": "carlos manuel", "lola": "dolores", "lolita": "dolores", "loli": "dolores", "lucho": "luis", "lucha": "lucia luisa", "luchi": "lucia luisa", "lula": "luisa", "luli": "lucia luisa",
+    "manolo": "manuel", "mari": "maria marina marisa", "mariu": "maria", "panchita": "francisca", "martincho": "martin", "tincho": "martin agustin", "reni": "renata", "meche": "mercedes", "mecha": "mercedes", "memo": "guillermo", "mimi": "miriam", "nacho": "ignacio", "nando": "fernando",
+    "pacho": "francisco", "paco": "francisco", "pancho": "francisco", "pepa": "josefa", "pepe": "jose", "pepito": "jose", "quico": "enrique francisco", "quique": "enrique", "rochi": "rocio", "susi": "susana", "tati": "tatiana", "tito": "alberto ernesto roberto", "toto": "antonio", "tono": "antonio", "tony": "antonio", "vicky": "victoria", "willy": "guillermo", "yago": "santiago", "jaco": "jacobo", "tiago": "santiago",
 }
 GRAM = 2
 
 
 def words(name: str) -> tuple[list[str], str]:
-    """The words of a name without titles, and the gender its titles tell ('' if none or both)."""
+    """The distinct words of a name without titles, and the gender its titles tell ('' if none or both)."""
     text = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
-    found = re.findall(r"[a-z]+", text)
+    found = re.findall(r"[^\W\d_]+", text)
     told = {TITLES[w] for w in found if w in TITLES} - {""}
-    own = [w for w in found if w not in TITLES]
-    return [p for w in own for p in (w if len(w) == 2 else [w])], told.pop() if len(told) == 1 else ""  # two letters: initials
+    return list(dict.fromkeys(w for w in found if w not in TITLES)), told.pop() if len(told) == 1 else ""
+
+
+def readings(own: list[str]) -> list[list[str]]:
+    """The words as they stand and, where there are words of two letters, with these as initials."""
+    split = list(dict.fromkeys(p for w in own for p in (w if len(w) == 2 else [w])))
+    return [own] if split == own else [own, split]
+
+
+def grams(own: list[str]) -> Counter:
+    """n-grams of the words with a blank on both sides; an initial has the beginning only, a word of two letters counts as two initials too."""
+    out: Counter = Counter()
+    for w in dict.fromkeys(w for reading in readings(own) for w in reading):
+        padded = f" {w} " if len(w) > 1 else f" {w}"
+        out.update(padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1))
+    return out
+
+
+def vector(own: list[str], idf: Mapping[str, float]) -> dict[str, float]:
+    """The unit vector of a name; empty if it has no words."""
+    raw = {g: (1 + math.log(n)) * idf.get(g, 0.0) for g, n in grams(own).items()}
+    size = math.sqrt(sum(x * x for x in raw.values()))
+    return {g: x / size for g, x in raw.items()} if size else {}
+
+
+def cosine(a: Mapping[str, float], b: Mapping[str, float]) -> float:
+    return sum(x * b[g] for g, x in a.items() if g in b)
+
+
+def prefix(unit: Mapping[str, float], idf: Mapping[str, float], least: float) -> list[str]:
+    """The rarest n-grams of a vector, until what is left is shorter than ``least``.
+
+    Two vectors of a cosine of ``least`` or more share an n-gram of both prefixes: the rarest they share, as all they
+    share from there on would else lie in a rest that is too short.
+    """
+    order = sorted(unit, key=lambda g: (-idf[g], g))
+    left = sum(x * x for x in unit.values())
+    out = []
+    for g in order:
+        if left < least * least - 1e-9:
+            break
+        out.append(g)
+        left -= unit[g] ** 2
+    return out
 
 
 def swaps(a: str, b: str, most: int = 2) -> int:
@@ -65,100 +110,133 @@ def swaps(a: str, b: str, most: int = 2) -> int:
     return one[-1]
 
 
-def word_similarity(a: str, b: str) -> float:
-    """1 for equal words down to 0; initials and cut-off or familiar forms of each other count nearly as much."""
+def explains(a: str, b: str, nicknames: Mapping[str, str] = NICKNAMES) -> int:
+    """Whether two words may be one word of a name: 4 equal, 3 a slip, 2 two slips or a short or familiar form, 1 an initial, 0 not."""
     if a == b:
-        return 1.0
-    short, long = sorted((a, b), key=len)
+        return 4
+    short, long = sorted((a, b), key=lambda w: (len(w), w))
     if len(short) == 1:
-        return 0.75 if long[0] == short else 0.0
-    full = NICKNAMES.get(short, "").split() + NICKNAMES.get(long, "").split()
+        return int(long[0] == short)
+    full = nicknames.get(short, "").split() + nicknames.get(long, "").split()
     if any(swaps(f, w, 1) <= 1 for f in full for w in (short, long)):
-        return 0.9
+        return 2
     if long == short + "a" or len(a) == len(b) and a[:-1] == b[:-1] and {a[-1], b[-1]} == {"o", "a"}:
-        return 0.0  # a man's and a woman's name
-    if long.startswith(short) and len(short) <= 4:
-        return 0.85
-    if len(long) > 5 and long[-3:] in ("ita", "ito") and long[:-3] in (short, short[:-1]):
-        return 0.9
-    if 4 <= len(short) <= 5 and short[-1] in "aeiouy" and len(long) > len(short) and long.startswith(short[:-1]):
-        return 0.8
+        return 0  # a man's and a woman's name
+    begins = long.startswith(short) and len(short) <= 4
+    diminutive = len(long) > 5 and long[-3:] in ("ita", "ito") and long[:-3] in (short, short[:-1])
+    familiar = 4 <= len(short) <= 5 and short[-1] in "aeiouy" and len(long) > len(short) and long.startswith(short[:-1])
+    if begins or diminutive or familiar:
+        return 2
     if len(short) < 4:
-        return 0.0
-    d = swaps(a, b)
-    return 0.85 if d == 1 else 0.5 if d == 2 and len(short) >= 6 else 0.0
-
-
-def name_similarity(a: tuple[list[str], str], b: tuple[list[str], str]) -> float:
-    """Likeness of two names, 0 where both hold a word the other can't explain.
-
-    A name that leaves out words of the other contradicts nothing, but a lone initial explains little.
-    """
-    (x, told_x), (y, told_y) = a, b
-    if not x or not y or told_x and told_y and told_x != told_y:
-        return 0.0
-    scores = sorted(((word_similarity(p, q), i, j) for i, p in enumerate(x) for j, q in enumerate(y)), reverse=True)
-    used_x: set[int] = set()
-    used_y: set[int] = set()
-    total, strong = 0.0, 0.0
-    for score, i, j in scores:
-        if score > 0 and i not in used_x and j not in used_y:
-            used_x.add(i)
-            used_y.add(j)
-            total += score
-            if min(len(x[i]), len(y[j])) >= 4:
-                strong = max(strong, score)
-    if not strong:
-        return 0.0
-    left = [x[i] for i in range(len(x)) if i not in used_x], [y[j] for j in range(len(y)) if j not in used_y]
-    if left[0] and left[1]:
-        return 0.0
-    rest = left[0] or left[1]
-    return total / len(used_x) * 0.95 ** len(rest)
+        return 0
+    slips = swaps(a, b)
+    return 3 if slips == 1 else 2 if slips == 2 and len(short) >= 6 else 0
+
+
+def agree(a: tuple[list[str], str], b: tuple[list[str], str], nicknames: Mapping[str, str] = NICKNAMES) -> bool:
+    """Whether two names don't contradict each other: of their words, matched one to one, at most one name has some left
+    over, a matched pair is more than an initial, and their titles tell no different genders."""
+    if a[1] and b[1] and a[1] != b[1]:
+        return False
+    return any(_match(x, y, nicknames) for x in readings(a[0]) for y in readings(b[0]))
+
+
+def _match(x: list[str], y: list[str], nicknames: Mapping[str, str]) -> bool:
+    same = set(x) & set(y)
+    strong = any(len(w) > 1 for w in same)
+    x, y = [w for w in x if w not in same], [w for w in y if w not in same]
+    scores = sorted(((explains(p, q, nicknames), -abs(i - j), p, q) for i, p in enumerate(x) for j, q in enumerate(y)), reverse=True)
+    used_x: set[str] = set()
+    used_y: set[str] = set()
+    for score, _, p, q in scores:
+        if score and p not in used_x and q not in used_y:
+            used_x.add(p)
+            used_y.add(q)
+            strong = strong or score > 1
+    return strong and (len(used_x) == len(x) or len(used_y) == len(y))
 
 
 def spellings(names: DataFrame, group: str, name: str) -> DataFrame:
-    """(g, name) distinct; null groups and names and names without a word are left out."""
+    """(g, name) distinct; null groups and names are left out."""
     rows = names.where(F.col(group).isNotNull() & F.col(name).isNotNull())
     return rows.select(F.col(group).cast("string").alias("g"), F.col(name).alias("name")).distinct()
 
 
-def word_links(rows: DataFrame) -> DataFrame:
-    """(g, w1, w2) pairs of words of a group's names, w1 <= w2, whose n-gram vectors have a cosine of COSINE or more."""
+def weights(rows: DataFrame) -> dict[str, float]:
+    """The inverse document frequency of every n-gram; there are at most as many as pairs of letters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for name in batch.column(1).to_pylist():
+                seen[""] += 1
+                seen.update(set(grams(words(name)[0])))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+
+    df = {r["gram"]: r["n"] for r in rows.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    total = df.pop("", 0)
+    return {g: math.log(1 + total / n) for g, n in df.items()}
+
+
+def similar(rows: DataFrame, least: float = COSINE, nicknames: Mapping[str, str] = NICKNAMES) -> DataFrame:
+    """(g, a, b, s): pairs a < b of a group's names with their cosine, from ``least`` on, that don't contradict each other."""
+    idf = weights(rows)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(g, n, gram) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for gram in prefix(vector(words(n)[0], idf), idf, least)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "name", "gram"])
+
+    met = pairs_within(rows.mapInArrow(index, "g string, name string, gram string"), ["g", "gram"], "name").select("g", "a", "b").distinct()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[tuple[list[str], str], dict[str, float]]] = {}
+
+        def of(name: str) -> tuple[tuple[list[str], str], dict[str, float]]:
+            if name not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                own = words(name)
+                memo[name] = (own, vector(own[0], idf))
+            return memo[name]
+
         for batch in batches:
-            out = [(g, w, f"{' ' + w + ' '}"[i : i + GRAM]) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words(n)[0] if len(w) > 3 for i in range(len(w) + 1)]
+            out = []
+            for g, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                (x, u), (y, v) = of(a), of(b)
+                s = cosine(u, v)
+                if s >= least and agree(x, y, nicknames):
+                    out.append((g, a, b, s))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "w", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["g", "a", "b", "s"])
 
-    grams = materialize(rows.mapInArrow(run, "g string, w string, gram string").distinct())
-    vocabulary = grams.select("g", "w").distinct()
-    total = vocabulary.agg(F.count("*").alias("all"))
-    idf = grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("gram", F.log1p(F.col("all") / F.col("df")).alias("idf"))
-    weighted = grams.select("g", "w", "gram").join(idf, "gram")
-    length = weighted.groupBy("g", "w").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    unit = materialize(weighted.join(length, ["g", "w"]).select("g", "gram", "w", (F.col("idf") / F.col("norm")).alias("x")))
-    other = unit.withColumnsRenamed({"w": "w2", "x": "y"})
-    near = unit.join(other, ["g", "gram"]).where("w < w2").groupBy("g", "w", "w2").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).where(F.col("cosine") >= COSINE)
-    return near.select("g", F.col("w").alias("w1"), "w2").unionByName(vocabulary.select("g", F.col("w").alias("w1"), F.col("w").alias("w2")))
+    return met.mapInArrow(score, "g string, a string, b string, s double")
 
 
 def linkage(sims: dict[tuple[int, int], float], n: int, least: float) -> list[int]:
-    """Average-linkage clusters of n points; pairs that are not in ``sims`` (i < j) have similarity 0."""
+    """Average-linkage clusters of n points; pairs that are not in ``sims`` (i < j) have similarity 0. Of equal means the smallest labels join first."""
     members = {i: [i] for i in range(n)}
     between: dict[int, dict[int, float]] = defaultdict(dict)
     for (i, j), s in sims.items():
         between[i][j] = between[j][i] = s
-    while True:
-        best = max(((s / (len(members[i]) * len(members[j])), -i, -j) for i, row in between.items() for j, s in row.items() if i < j), default=None)
-        if best is None or best[0] < least:
-            break
-        i, j = -best[1], -best[2]
+    queue = [(-s, i, j, 1, 1) for (i, j), s in sims.items() if s >= least]
+    heapq.heapify(queue)
+    while queue:
+        _, i, j, size_i, size_j = heapq.heappop(queue)
+        if len(members.get(i, ())) != size_i or len(members.get(j, ())) != size_j:
+            continue  # an older state of one of them
         members[i] += members.pop(j)
         for k, s in between.pop(j).items():
             between[k].pop(j)
             if k != i:
                 between[i][k] = between[k][i] = between[i].get(k, 0.0) + s
+        for k, s in between[i].items():
+            mean = s / (len(members[i]) * len(members[k]))
+            if mean >= least:
+                x, y = min(i, k), max(i, k)
+                heapq.heappush(queue, (-mean, x, y, len(members[x]), len(members[y])))
     label = [0] * n
     for i, points in members.items():
         for p in points:
@@ -184,39 +262,8 @@ def components(rows: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> DataFrame:
-    """(group, name, person): every distinct spelling with the person it names, the smallest spelling of its cluster.
-
-    Names of different groups are never linked. Repeated rows count once, empty input gives no rows, and a name without
-    words of its own (titles only) is a person by itself. Names that no chain of similar pairs connects are clustered apart,
-    as no linkage could join them: a task sees the spellings of one component, whatever the number of rows.
-    """
-    rows = materialize(spellings(names, group, name))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(g, n, w) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words(n)[0]) if len(w) > 3]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "name", "w"])
-
-    held = rows.mapInArrow(cut, "g string, name string, w string")
-    pairs = word_links(rows)
-    both = held.withColumnsRenamed({"name": "a", "w": "w1"}).join(pairs, ["g", "w1"]).join(held.withColumnsRenamed({"name": "b", "w": "w2"}), ["g", "w2"])
-    both = both.where("a <> b").select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[list[str], str]] = {}
-        of = lambda n: memo.get(n) or memo.setdefault(n, words(n))
-        for batch in batches:
-            out = [(g, a, b, s) for g, a, b in zip(*(c.to_pylist() for c in batch.columns)) if (s := name_similarity(of(a), of(b))) > 0]
-            if len(memo) > 200_000:
-                memo.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["g", "a", "b", "s"])
-
-    scored = materialize(both.mapInArrow(score, "g string, a string, b string, s double"))
-    alone = rows.select("g", F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("s"))
-    pairs = scored.unionByName(alone).join(components(rows, scored).withColumnRenamed("name", "a"), ["g", "a"])
+def _cluster_parts(pairs: DataFrame, least: float) -> DataFrame:
+    """(g, name, person) of components (g, c, a, b, s) of at most BIG pairs, each in one task."""
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,19 +272,63 @@ def link(names: DataFrame, group: str, name: str, least: float = LINKAGE) -> Dat
                 triples = [(x["a"], x["b"], x["s"]) for x in part.as_py()]
                 known = sorted({n for a, b, _ in triples for n in (a, b)})
                 at = {n: i for i, n in enumerate(known)}
-                label = linkage({(at[a], at[b]): s for a, b, s in triples if a != b}, len(known), least)
+                label = linkage({(at[a], at[b]): s for a, b, s in triples}, len(known), least)
                 out += [(g, n, known[i]) for n, i in zip(known, label)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["g", "name", "person"])
 
-    held_together = pairs.groupBy("g", "c").agg(F.collect_list(F.struct("a", "b", "s")).alias("e")).select("g", "e")
-    people = held_together.mapInArrow(cluster, "g string, name string, person string")
-    return people.select(F.col("g").alias(group), F.col("name").alias(name), "person")
+    whole = pairs.groupBy("g", "c").agg(F.collect_list(F.struct("a", "b", "s")).alias("e")).select("g", "e")
+    return whole.mapInArrow(cluster, "g string, name string, person string")
+
+
+def _cluster_rounds(pairs: DataFrame, least: float) -> DataFrame:
+    """The same clusters by rounds: all clusters that are each other's nearest join at once.
+
+    Average linkage never brings a third cluster nearer than the two that join, so the order of such joins is free.
+    """
+    edges = materialize(pairs.select("g", "a", "b", "s", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+    people = edges.select("g", F.col("a").alias("name")).union(edges.select("g", "b")).distinct().withColumn("person", F.col("name"))
+    people = materialize(people)
+    while True:
+        rank = F.struct(F.round(-F.col("s") / (F.col("na") * F.col("nb")), 12).alias("m"), "a", "b")
+        good = edges.where(F.col("s") / (F.col("na") * F.col("nb")) >= least).withColumn("r", rank)
+        ends = good.select("g", F.col("a").alias("x"), "r").union(good.select("g", "b", "r"))
+        best = ends.groupBy("g", "x").agg(F.min("r").alias("r"))
+        twice = best.groupBy("g", "r").agg(F.count("*").alias("n")).where("n = 2").select("g", F.col("r.a").alias("into"), F.col("r.b").alias("gone"))
+        joins = materialize(twice)
+        if joins.isEmpty():
+            return people
+        moved = lambda df, c: df.join(joins.withColumnRenamed("gone", c), ["g", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        people = materialize(moved(people, "person").select("g", "name", "person"))
+        sizes = people.groupBy("g", "person").agg(F.count("*").alias("n"))
+        new = moved(moved(edges.select("g", "a", "b", "s"), "a"), "b").where("a <> b")
+        new = new.groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
+        size = lambda c: sizes.select("g", F.col("person").alias(c), F.col("n").alias(f"n{c}"))
+        edges = materialize(new.join(size("a"), ["g", "a"]).join(size("b"), ["g", "b"]).select("g", "a", "b", "s", "na", "nb"))
+
+
+def link(names: DataFrame, group: str, name: str, least: float = LINKAGE, nicknames: Mapping[str, str] = NICKNAMES, big: int = BIG) -> DataFrame:
+    """(group, name, person): every distinct spelling with the person it names, the smallest spelling of its cluster.
+
+    Names of different groups are never linked. Repeated rows count once, empty input gives no rows, and a name without
+    words of its own (titles only) is a person by itself; words of any length count, names of any length are read whole.
+    Names that no chain of similar pairs connects are clustered apart, as no linkage could join them; components of more
+    than ``big`` pairs are clustered by rounds over tables, with the same result but for the order of equal means.
+    """
+    rows = materialize(spellings(names, group, name))
+    scored = materialize(similar(rows, nicknames=nicknames))
+    pairs = materialize(scored.join(components(rows, scored).withColumnRenamed("name", "a"), ["g", "a"]))
+    sizes = materialize(pairs.groupBy("g", "c").agg(F.count("*").alias("n")).where(F.col("n") > big).select("g", "c"))
+    if sizes.isEmpty():
+        people = _cluster_parts(pairs, least)
+    else:
+        people = _cluster_parts(pairs.join(sizes, ["g", "c"], "left_anti"), least).unionByName(_cluster_rounds(pairs.join(sizes, ["g", "c"], "left_semi"), least))
+    out = rows.join(people, ["g", "name"], "left").select("g", "name", F.coalesce("person", "name").alias("person"))
+    return out.select(F.col("g").alias(group), F.col("name").alias(name), "person")
 
 
 def found(votes: DataFrame) -> DataFrame:
     """p7_found: every pair of spellings of a court that name the same judge; see ``link`` for nulls, repeats and the like."""
     people = materialize(link(votes, "organo", "section"))
-    a = people.select("organo", "person", F.col("section").alias("section_a"))
-    b = people.select("organo", "person", F.col("section").alias("section_b"))
-    return a.join(b, ["organo", "person"]).where("section_a < section_b").select("organo", "section_a", "section_b")
+    pairs = pairs_within(people, ["organo", "person"], "section")
+    return pairs.select("organo", F.col("a").alias("section_a"), F.col("b").alias("section_b"))

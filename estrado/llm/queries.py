@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": lambda spark, d: split.all_pieces(read_table(spark, d, "fallos_json"), read_table(spark, d, "paragraphs")),
         "p6_found": lambda spark, d: cooccur.found(read_table(spark, d, "ruling_citations"), read_table(spark, d, "fuentes_ref")),
         "p7_found": lambda spark, d: names.found(read_table(spark, d, "votos")),
+        "p7_people": lambda spark, d: names.link(read_table(spark, d, "votos"), "organo", "section"),
         "p8_found": lambda spark, d: leak.found(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),
         "p8_spans": lambda spark, d: leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")),
         "p9_mix": lambda spark, d: mix.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
