@@ -26,6 +26,8 @@ from estrado.sources.fallos import first_delivery, iter_rulings
 SECTIONS = ("INICIO", "ACUERDO", "///CUERDO", "RESUELVE")
 #: A word seen so often in rulings that are no scans is sound as it stands.
 ATTESTED = 3
+#: Rounds in which the channel is learned.
+ROUNDS = 3
 #: Counts kept in a task before they are handed on.
 COUNTERS = 400_000
 #: Characters as printed and as misread; fixed values.
@@ -40,11 +42,13 @@ _HEADS = ("poderjudicial", "camaradeapelaciones", "camaradeape", "firmadodigital
 _FOLD = str.maketrans({"0": "o", "9": "o", "1": "i", "l": "i", "|": "i", "!": "i", "5": "s", "$": "s", "@": "a", "8": "b", "+": "t", "6": "o", "3": "e"})
 _PAGENO = re.compile(r"(?i)^[\s\[\](){}/|\-–—=*.·~°ºN]*(?:(?:p[aá4@]g(?:ina|s)?|pg|p|fs?|fo[l1i|][i1l|]?[o0]?s?|fojas?|hoja|h)\b\.?\s*(?:n[°º.]\s*)?)?(?:\d{1,4}|[ivxlc]{1,7}(?=\W*$))(?:\s*(?:/|de|of|-)\s*\d{1,4})?[\s\[\](){}/|\-–—=*.·~]*$")
 _STAMP = re.compile(r"^\s*\d{2,4}[-/.]\d{1,2}[-/.]\d{2,4}(?:[T ]\s*\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:hs?\.?|Z))?)?\s*$|^\s*\d{1,2}:\d{2}(?::\d{2})?\s*$")
-_CASE = re.compile(r'^\s*"[^"]{3,160}\s[cCeE]/\s?[^"]{2,160}"\s*$')
+_CASE = re.compile(r'^\s*"[^"]{3,}?\s[cCeE]/\s?[^"]{2,}"\s*$')
 _FILE = re.compile(r"(?i)^\s*exp[t+i]?[ecd]?[.,t+]*[ec]?\.?\s*n?[°º.]*\s*[\d0-9oOlI|.]+\s*[-–]\s*\S.*[^.,;]\s*$")
 _HYPHEN = re.compile(r"[^\W\d_]['´@|+\w]*[-\u00AD\u2010\u2011\u00AC]\s*$")
 _EDGE = "\"'“”«»()[]¿?¡!.,;:"
-_SOUND_NUMBER = re.compile(r"[\W\d_]*(?:[\d.,/°ºª:\-$%]+[\W\d_]*)?$|[ivxlcdm]+[.\-)]*$", re.I)
+#: Words that are numbers and never in doubt.
+NUMBER = r"^[\d.,/°ºª:\-$%]+$"
+_NUMBER = re.compile(NUMBER)
 
 
 def line_kind(line: str, inner: bool = True) -> str:
@@ -52,7 +56,7 @@ def line_kind(line: str, inner: bool = True) -> str:
     bare = line.strip()
     if not bare or not inner:
         return ""
-    if len(bare) <= 24 and _PAGENO.match(bare) and (any(c.isdigit() for c in bare) or bare[0] in "-[(–—"):
+    if _PAGENO.match(bare) and (any(c.isdigit() for c in bare) or bare[0] in "-[(–—"):
         return "pageno"
     if _STAMP.match(bare) or _CASE.match(bare) or _FILE.match(bare):
         return "header"
@@ -110,16 +114,16 @@ def sections_of(ruling: dict[str, Any], sections: tuple[str, ...] = SECTIONS) ->
                 yield section, pos, item
 
 
-_PARTS = "tag string, file_id bigint, obj_pos int, section string, para_pos int, line_no int, kind string, a string, b string, n long"
-_ARROW = pa.schema([("tag", pa.string()), ("file_id", pa.int64()), ("obj_pos", pa.int32()), ("section", pa.string()), ("para_pos", pa.int32()), ("line_no", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+_PARTS = "tag string, file_id bigint, obj_pos int, section string, para_pos int, line_no int, kind string, a string, b string, n long, doubt array<string>"
+_ARROW = pa.schema([("tag", pa.string()), ("file_id", pa.int64()), ("obj_pos", pa.int32()), ("section", pa.string()), ("para_pos", pa.int32()), ("line_no", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64()), ("doubt", pa.list_(pa.string()))])
 
 
 def _parts(files: DataFrame, every_line: bool) -> DataFrame:
     """One pass over the payloads.
 
     tag ``line``: a line of a scanned ruling, its kind so far, its text (a) and the first half of the word that the line
-    before left divided (b). Without ``every_line``, lines of attested words only are left out; a word counts as
-    attested by the rulings of its own task, a lower bound of the corpus count.
+    before left divided (b), and its words in doubt: all but numbers and words attested by the rulings of
+    its own task, a lower bound of the corpus count. Without ``every_line``, lines without such words are left out.
     tag ``pair``: word a follows word b n times, in scans and elsewhere; tag ``word``: n times a, outside scans.
     """
 
@@ -127,7 +131,7 @@ def _parts(files: DataFrame, every_line: bool) -> DataFrame:
         keys = list(counts)
         left, right = ([k[0] for k in keys], [k[1] for k in keys]) if tag == "pair" else (keys, [None] * len(keys))
         size, none = len(keys), [None] * len(keys)
-        cols = [[tag] * size, none, none, none, none, none, none, left, right, list(counts.values())]
+        cols = [[tag] * size, none, none, none, none, none, none, left, right, list(counts.values()), none]
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +171,14 @@ def _parts(files: DataFrame, every_line: bool) -> DataFrame:
                             words = words[: len(words) - len(half) - 1]
                         words = words_of(words)
                         flow += words
-                        if every_line or any(seen[w] < ATTESTED and not _SOUND_NUMBER.match(w) for w in words) and kinds[k] == "":
-                            out.append(("line", file_id, pos, section, para, k, kinds[k], line.lstrip(), lead, None))
+                        doubt = list({w for w in words if seen[w] < ATTESTED and not _NUMBER.match(w)})
+                        if every_line or doubt and kinds[k] == "":
+                            out.append(("line", file_id, pos, section, para, k, kinds[k], line.lstrip(), lead, None, doubt))
                         elif kinds[k]:
-                            out.append(("line", file_id, pos, section, para, k, kinds[k], None, None, None))
+                            out.append(("line", file_id, pos, section, para, k, kinds[k], None, None, None, None))
                     for k, kind in enumerate(kinds):
                         if kind in ("header", "pageno"):
-                            out.append(("line", file_id, pos, section, para, k, kind, None, None, None))
+                            out.append(("line", file_id, pos, section, para, k, kind, None, None, None, None))
                     pairs.update(zip(flow, flow[1:]))
                 if len(out) > 50_000:
                     yield _rows(out)
@@ -195,33 +200,55 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def intended(word: str, most: int = 6) -> dict[str, tuple[tuple[str, str], ...]]:
-    """Words that may have been printed where ``word`` was read, each with the confusions that explain it.
+#: What confusable characters have in common: every confusion's two sides get the same string; fixed values.
+SKELETON = (("d", "ci"), ("m", "rri"), ("nñ", "ri"), ("w", "vv"), ("o09gqub6h8óòúù", "ii"), ("tlíï|1!+7ì", "i"), ("f", "r"), ("eéè3", "c"), ("@4áà", "a"), ("5$", "s"), ("y", "v"), ("2", "z"), ("´~", ""))
+_SKELETON = str.maketrans({c: to for chars, to in SKELETON for c in chars})
+
+
+def skeleton(word: str) -> str:
+    """A string that a word shares with all words it can be misread as, whatever the number of misreadings."""
+    return word.translate(_SKELETON)
+
+
+def skeleton_of(word: Any) -> Any:
+    """``skeleton`` as a column."""
+    for chars, to in SKELETON:
+        word = F.regexp_replace(word, "[" + re.sub(r"([|$])", r"\\\1", chars) + "]", to)
+    return word
 
-    Every combination of confusions, of words with more than ``most`` doubtful places those that settle all places of
-    the same misread form alike.
-    """
-    back = defaultdict(list)
-    for printed, misread in CONFUSIONS:
-        back[misread].append(printed)
-    out: dict[str, tuple[tuple[str, str], ...]] = {}
-
-    def grow(rest: str, done: str, used: tuple[tuple[str, str], ...], left: int) -> None:
-        if not rest:
-            if used:
-                out.setdefault(done, used)
-            return
-        grow(rest[1:], done + rest[0], used, left)
-        if left:
-            for size in (1, 2):
-                for printed in back.get(rest[:size], ()) if len(rest) >= size else ():
-                    grow(rest[size:], done + printed, (*used, (printed, rest[:size])), left - 1)
 
-    #: Signs that no sound word holds must all be explained, so they come first and cost no choice.
-    strange = re.compile(r"[@|+$!´~]|(?<=[^\W\d_])\d|\d(?=[^\W\d_])")
-    hard = len(strange.findall(word))
-    grow(word, "", (), min(most, max(2, hard + 1)) if len(word) <= 40 else 2)
-    return {w: used for w, used in out.items() if len(strange.findall(w)) == 0}
+_MISREAD: dict[str, list[str]] = defaultdict(list)
+for _printed, _misread in CONFUSIONS:
+    _MISREAD[_misread].append(_printed)
+
+
+def explained(word: str, printed: str) -> list[tuple[str, str]] | None:
+    """The fewest confusions by which ``printed`` was read as ``word``, None if none do; of any number and place."""
+    n, m = len(word), len(printed)
+    if abs(n - m) > max(n, m) // 2:
+        return None
+    best: dict[tuple[int, int], tuple[int, tuple | None]] = {(0, 0): (0, None)}
+    for i in range(n + 1):
+        for j in range(max(0, i // 2 - 1), min(m, 2 * i + 2) + 1):
+            at = best.get((i, j))
+            if at is None:
+                continue
+            steps = [((i + 1, j + 1), 0, None)] if i < n and j < m and word[i] == printed[j] else []
+            for size in (1, 2):
+                misread = word[i : i + size]
+                if len(misread) == size:
+                    steps += [((i + size, j + len(p)), 1, (p, misread)) for p in _MISREAD.get(misread, ()) if printed.startswith(p, j)]
+            for to, cost, used in steps:
+                if to not in best or best[to][0] > at[0] + cost:
+                    best[to] = (at[0] + cost, ((i, j), used))
+    if (n, m) not in best:
+        return None
+    out, place = [], (n, m)
+    while best[place][1]:
+        place, used = best[place][1]
+        if used:
+            out.append(used)
+    return out[::-1]
 
 
 def viterbi(states: list[list[tuple[str, float]]], pair: dict[tuple[str, str], float], start: float) -> list[int]:
@@ -252,48 +279,72 @@ def _models(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, pairs
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """(key..., k, word) of lines; k = place of the word among the line's words, the carried half joined to the first."""
+def _words(lines: DataFrame) -> DataFrame:
+    """(key..., kind, b, words) of lines, the carried half joined to the first word."""
     flow = F.concat(F.coalesce("b", F.lit("")), F.col("a"))
     cut = F.when(F.col("kind") == "hyphen", F.regexp_replace(flow, r"\S+\s*$", "")).otherwise(flow)
     strip = lambda w: F.btrim(w, F.lit(_EDGE))
-    words = F.filter(F.transform(F.split(F.lower(cut), r"\s+"), strip), lambda w: w != "")
-    return lines.select(*KEY, "kind", "b", F.posexplode(words).alias("k", "word"))
+    words = F.filter(F.transform(F.split(F.lower(cut), r"(?U)\s+"), strip), lambda w: w != "")
+    return lines.select(*KEY, "kind", "b", words.alias("words"))
 
 
 KEY = ["file_id", "obj_pos", "section", "para_pos", "line_no"]
 
 
+def _candidates(doubtful: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, cand, clean, used): the sound words a doubtful one can be a misreading of, with the confusions that explain it."""
+    of = lambda df, name: df.withColumn("_sk", skeleton_of(F.col(name)))
+    met = of(doubtful, "word").join(of(words.withColumnRenamed("word", "cand"), "cand"), "_sk").select("word", "cand", "clean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            used = [explained(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if u is None else [f"{p}>{m}" for p, m in u] for u in used], pa.list_(pa.string()))], names=["word", "cand", "clean", "used"])
+            yield found.filter(pa.array([u is not None for u in used]))
+
+    return met.mapInArrow(run, "word string, cand string, clean long, used array<string>")
+
+
+def channel_of(cands: DataFrame, corpus: int, rounds: int = ROUNDS) -> dict[str, float]:
+    """log P of every confusion by expectation and maximisation over the candidates of all doubtful words.
+
+    Each doubtful word counts once, shared by its candidates in proportion to their likelihood under the confusions'
+    present weights and their own frequency; the first round knows the frequencies only.
+    """
+    lp: dict[str, float] = {}
+    for _ in range(rounds):
+        share = F.exp(_cost_of(lp, corpus) - F.max(_cost_of(lp, corpus)).over(_by("word")))
+        part = cands.withColumn("w", share).withColumn("w", F.col("w") / F.sum("w").over(_by("word")))
+        seen = {r["c"]: r["n"] for r in part.select(F.explode("used").alias("c"), "w").groupBy("c").agg(F.sum("w").alias("n")).collect()}  # at most as many as CONFUSIONS
+        total = sum(seen.values())
+        lp = {f"{p}>{m}": math.log((seen.get(f"{p}>{m}", 0.0) + 0.1) / (total + 1)) for p, m in CONFUSIONS}
+    return lp
+
+
+def _cost_of(lp: dict[str, float], corpus: int) -> Any:
+    """log P(cand) + the sum of its confusions' log P."""
+    weight = F.create_map(*[F.lit(x) for pair in lp.items() for x in pair]) if lp else None
+    used = F.aggregate("used", F.lit(0.0), lambda s, u: s + F.coalesce(F.try_element_at(weight, u), F.lit(-12.0))) if lp else F.lit(0.0)
+    return used + F.log(F.col("clean") / F.lit(float(max(1, corpus))))
+
+
 def decode(parts: DataFrame) -> DataFrame:
     """(key..., kind, b, fixes): the misread words of every line, as array of (k, word, printed)."""
     words, pairs = _models(parts)
-    words = words.where(F.col("clean") >= ATTESTED)
-    tokens = _tokens(parts.where("tag = 'line' and a is not null"))
-    doubtful = tokens.select("word").distinct().where(~F.col("word").rlike(r"^[\d.,/°ºª:\-$%]+$")).join(words, "word", "left_anti")
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(w, c, [f"{p}>{m}" for p, m in used]) for w in batch.column(0).to_pylist() for c, used in intended(w).items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.list_(pa.string())))], names=["word", "cand", "used"])
-
-    cands = doubtful.mapInArrow(propose, "word string, cand string, used array<string>").join(words.withColumnRenamed("word", "cand"), "cand")
-    cands = materialize(cands)
-    # The channel: how often each confusion explains a doubtful word, each word counted once and shared by its candidates.
-    share = cands.withColumn("w", F.lit(1.0) / F.count("*").over(_by("word")))
-    channel = share.select(F.explode("used").alias("c"), "w").groupBy("c").agg(F.sum("w").alias("seen"))
-    total = channel.agg(F.sum("seen").alias("all"))
-    channel = channel.crossJoin(total).select("c", F.log((F.col("seen") + 0.1) / (F.col("all") + 1)).alias("lp"))
-    lp = F.map_from_entries(F.collect_list(F.struct("c", "lp")))
-    # One row: as many entries as CONFUSIONS has.
-    table = channel.agg(lp.alias("channel"))
-    cands = cands.crossJoin(F.broadcast(table)).withColumn("cost", F.aggregate("used", F.lit(0.0), lambda s, u: s + F.coalesce(F.try_element_at("channel", u), F.lit(-12.0))))
-    corpus = words.agg(F.sum("clean").alias("corpus"))
-    options = cands.crossJoin(F.broadcast(corpus)).groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-(F.col("cost") + F.log(F.col("clean") / F.col("corpus")))).alias("cost"), F.col("cand")))).alias("options"))
+    words = materialize(words.where(F.col("clean") >= ATTESTED))
+    corpus = words.agg(F.sum("clean")).first()[0] or 0
+    lines = parts.where("tag = 'line' and a is not null")
+    tokens = lines.select(*KEY, F.explode("doubt").alias("word"))
+    doubtful = tokens.select("word").distinct().join(words, "word", "left_anti")
+    cands = materialize(_candidates(doubtful, words))
+    lp = channel_of(cands, corpus)
+    options = cands.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-_cost_of(lp, corpus)).alias("cost"), F.col("cand")))).alias("options"))
+    # Only words in doubt are joined with their candidates; the others have none.
+    hits = tokens.join(options, "word").groupBy(*KEY).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "options")))).alias("hits"))
     # Words whose signs no sound word holds are misread even where no word of the corpus explains them.
-    strange = F.col("word").rlike(r"\p{L}[@|+´]|[@|+]\p{L}")
-    hit = tokens.join(options, "word", "left")
-    lines = hit.groupBy(*KEY).agg(F.first("kind").alias("kind"), F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("k", "word", "options", strange.alias("strange")))).alias("line"))
+    strange = lambda w: w.rlike(r"\p{L}[@|+´]|[@|+]\p{L}")
+    line = F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("word"), F.try_element_at("hits", w).alias("options"), strange(w).alias("strange")))
+    lines = _beside(_words(lines), hits).withColumn("line", line).drop("words", "hits")
     lines = lines.where(F.exists("line", lambda t: t["options"].isNotNull() | t["strange"]))
     lines = materialize(lines)
     edge = F.flatten(F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: _edges(F.element_at("line", i), F.element_at("line", i + 1))))

@@ -98,3 +98,48 @@ def test_viterbi_uses_the_context():
     states = [[("la", 0.0)], [("costa", -1.0), ("corta", -0.9)], [("final", 0.0)]]
     assert noise.viterbi(states, {("la", "costa"): 2.0}, 0.0) == [0, 0, 0]
     assert noise.viterbi(states, {}, 0.0) == [0, 1, 0]
+
+
+def test_confusable_strings_share_their_skeleton(spark):
+    for printed, misread in noise.CONFUSIONS:
+        assert noise.skeleton(printed) == noise.skeleton(misread)
+    words = ["d3m@nda", "$entencia", "a|ba", "c1vil+", "ñandú", "x[y]^", "w´~"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(noise.skeleton_of(df.w)).collect()] == [noise.skeleton(w) for w in words]
+
+
+def test_any_number_of_misreadings_is_explained():
+    assert noise.explained("b@n@n@c@s@s@l@d@", "bananacasasalada") == [("a", "@")] * 8
+    assert noise.explained("clemanda", "demanda") == [("d", "cl")] and noise.explained("lll", "iii") == [("i", "l")] * 3
+    assert noise.explained("casa", "cosa") is None and noise.explained("casa", "casa") == []
+    long = "acost" * 30
+    assert len(noise.explained(long.replace("a", "@").replace("o", "0"), long)) == 60
+
+
+def test_explanations_are_the_fewest():
+    """Against all ways to misread short words."""
+    r = random.Random(11)
+    for _ in range(60):
+        printed = "".join(r.choice("adeilmnorstu") for _ in range(r.randint(2, 6)))
+        reached, front = {printed: 0}, {(printed, 0, "")}
+        for step in range(1, 4):
+            front = {(rest[k + len(p) :], step, done + rest[:k] + m) for rest, _, done in front for k in range(len(rest)) for p, m in noise.CONFUSIONS if rest.startswith(p, k)}
+            for rest, _, done in front:
+                reached.setdefault(done + rest, step)
+        for word in r.sample(sorted(reached), min(30, len(reached))):
+            used = noise.explained(word, printed)
+            assert used is not None and len(used) <= reached[word]
+
+
+def test_captions_and_page_numbers_of_any_length():
+    assert noise.line_kind('"' + "Irig " * 60 + 'c/ Brau s/ ejecución"') == "header"
+    assert noise.line_kind("-" * 30 + " 12 " + "-" * 30) == "pageno"
+
+
+def test_lines_found_are_those_repaired(spark):
+    """A roman numeral that no sound text holds is in doubt in both queries."""
+    rows = clean(random.Random(8)) + [ruling(50, "INICIO", *["capítulo iii costas"] * 3), ruling(1, "INICIO", "la demanda\ncapítulo lll\nlas costas civii")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    misread = {(r.file_id, r.line_no) for r in noise.found(df).collect() if r.kind == "misread"}
+    fixes = noise.decode(noise._parts(df, every_line=True)).where("exists(fixes, f -> f.printed is not null)")
+    assert misread == {(r.file_id, r.line_no) for r in fixes.collect()} == {(1, 1)}
