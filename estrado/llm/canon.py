@@ -2,8 +2,9 @@
 
 Every reference entry gives a few keys (its name, short name, number and their usual combinations); the keys stand in
 a BK-tree under the Levenshtein metric, and a typed value asks the tree for every key within its threshold. The
-nearest key whose numbers are the value's own numbers wins: a law of another number is another law. References beyond
-a checked size are sharded, each shard answers with its winner, and the winners merge.
+nearest key whose numbers are the value's own numbers wins: a law of another number is another law. Whose a key is gets
+settled over the whole reference first; keys beyond a checked number are sharded, each shard answers every block of values
+with its winners, and the winners merge.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-#: Most reference entries that travel to every task as one tree.
+from estrado.plans.scratch import materialize
+
+#: Most keys that travel to every task as one tree.
 SHARD = 20_000
+#: Distinct values that one task asks one shard for.
+BLOCK = 50_000
 #: Distinct values and keys a task remembers.
 MEMO = 200_000
 UNLISTED = -1
@@ -168,21 +173,13 @@ def allowed(key: str) -> int:
 
 
 class Linker:
-    """Maps typed values to reference ids through one BK-tree."""
+    """Maps typed values to reference ids through one BK-tree of (key, reference id)."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]) -> None:
+    def __init__(self, keys: list[tuple[str, int]]) -> None:
         self.tree = BKTree()
         self.memo: dict[str, list[tuple[int, str, int]]] = {}
-        owners: dict[str, set[int]] = {}
-        full = {}
-        for source, name, short in entries:
-            full[key_of(re.sub(r"\([^)]*\)", " ", fold(name)))] = source
-            for key in reference_keys(name, short):
-                owners.setdefault(key, set()).add(source)
-        for key, sources in sorted(owners.items()):
-            # A key of several entries means the one whose whole name it is, else none.
-            if len(sources) == 1 or key in full:
-                self.tree.add(key, full[key] if len(sources) > 1 else min(sources))
+        for key, source in sorted(keys):
+            self.tree.add(key, source)
 
     def forms(self, value: str) -> list[str]:
         text = source_part(fold(value))
@@ -213,19 +210,39 @@ class Linker:
         return best
 
 
-def link(values: DataFrame, reference: DataFrame, value: str = "value", shard: int = SHARD) -> DataFrame:
+def owned_keys(reference: DataFrame) -> DataFrame:
+    """(key, source_id): every key and the entry it means, over the whole reference.
+
+    A key of several entries means the one whose whole name it is (the smallest id, if of several), else none.
+    """
+    entries = reference.where("source_id is not null and canonical_name is not null").select(F.col("source_id").cast("long"), F.col("canonical_name").cast("string"), F.col("short_name").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, name, short in zip(*(c.to_pylist() for c in batch.columns)):
+                full = key_of(re.sub(r"\([^)]*\)", " ", fold(name)))
+                rows += [(key, source, key == full) for key in reference_keys(name, short)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_()))], names=["key", "source", "is_full"])
+
+    keys = entries.mapInArrow(run, "key string, source long, is_full boolean").groupBy("key")
+    owners = keys.agg(F.min("source").alias("lo"), F.max("source").alias("hi"), F.min(F.when(F.col("is_full"), F.col("source"))).alias("named"))
+    return owners.select("key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("named")).alias("source_id")).where("source_id is not null")
+
+
+def link(values: DataFrame, reference: DataFrame, value: str = "value", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """``values`` with source_id and distance: the entry meant, -1 and null if it is none of the list.
 
     ``reference`` has (source_id, canonical_name, short_name). Null and blank values are unlisted; an empty reference
     leaves all unlisted; values of any length are read whole; rows are kept one for one with all their columns, except
-    that columns named source_id and distance are replaced.
+    that columns named source_id and distance are replaced. The answers are the same for every ``shard`` and ``block``.
     """
     values = values.drop("source_id", "distance")
-    entries = reference.where("source_id is not null and canonical_name is not null").select(F.col("source_id").cast("long"), "canonical_name", "short_name")
-    some = entries.limit(shard + 1).collect()  # at most shard + 1 rows of the reference
-    if len(some) > shard:
-        return _sharded(values, entries, value, shard)
-    ready = [tuple(r) for r in sorted(some)]
+    keys = materialize(owned_keys(reference))
+    if keys.count() > shard:
+        return _sharded(values, keys, value, shard, block)
+    ready = [(r["key"], r["source_id"]) for r in keys.collect()]  # at most ``shard`` rows
     kept = values.columns
     schema = StructType([*(StructField(f.name, f.dataType) for f in values.schema), StructField("source_id", LongType()), StructField("distance", IntegerType())])
     at = kept.index(value)
@@ -248,19 +265,21 @@ def link(values: DataFrame, reference: DataFrame, value: str = "value", shard: i
     return values.mapInArrow(run, schema)
 
 
-def _sharded(values: DataFrame, entries: DataFrame, value: str, shard: int) -> DataFrame:
-    """The same by shards of the reference: each answers the distinct values with its winner, the nearest winner stays."""
-    count = -(-entries.count() // shard)
-    asked = values.select(F.col(value).alias("_v")).where("_v is not null and trim(_v) <> ''").distinct()
-    asked = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    parts = entries.withColumn("_s", F.pmod(F.xxhash64("source_id"), F.lit(count)).cast("int"))
+def _sharded(values: DataFrame, keys: DataFrame, value: str, shard: int, block: int) -> DataFrame:
+    """The same by shards of the keys: each answers the distinct values, block by block, with its winners, and the nearest winner stays."""
+    shards = -(-keys.count() // shard)
+    asked = materialize(values.select(F.col(value).alias("_v")).where("_v is not null and trim(_v) <> ''").distinct())
+    blocks = max(1, -(-asked.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(blocks)).cast("int")).withColumn("_s", every(shards))
+    right = keys.withColumn("_s", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("_b", every(blocks))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        linker = Linker([(int(r.source_id), r.canonical_name, r.short_name) for r in right.sort_values("source_id").itertuples()])
-        hits = [(v, *linker.nearest(v)) for v in left["_v"]]
+    def run(key: tuple, ask: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        linker = Linker(list(zip(part["key"], map(int, part["source_id"]))))
+        hits = [(v, *linker.nearest(v)) for v in ask["_v"]]
         return pd.DataFrame([(v, s, d) for v, d, s in hits if s != UNLISTED], columns=["_v", "s", "d"])
 
-    won = asked.groupBy("_s").cogroup(parts.groupBy("_s")).applyInPandas(run, "_v string, s long, d int")
+    won = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(run, "_v string, s long, d int")
     won = won.groupBy("_v").agg(F.min(F.struct("d", "s")).alias("_w"))
     out = values.join(won, values[value] == won["_v"], "left")
     return out.select(*[values[c] for c in values.columns], F.coalesce("_w.s", F.lit(UNLISTED)).cast("long").alias("source_id"), F.col("_w.d").alias("distance"))

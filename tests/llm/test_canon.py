@@ -36,6 +36,11 @@ def test_tree_gives_every_key_within_the_threshold():
         assert sorted(v for _, _, v in tree.within(q, most)) == [n for n, k in enumerate(keys) if levenshtein(q, k) <= most]
 
 
+@pytest.fixture(scope="module")
+def linker(spark):
+    return canon.Linker([tuple(r) for r in canon.owned_keys(spark.createDataFrame(REFERENCE, SCHEMA)).collect()])
+
+
 @pytest.mark.parametrize(
     ("typed", "source"),
     [
@@ -44,8 +49,22 @@ def test_tree_gives_every_key_within_the_threshold():
         ("Dec. nº871/1982", 8), ("Decreto 871/83", -1), ("convencion sobe la ninez protegida", 9), ("idem", -1), ("s/d", -1), ("conf. ley 9418", 1), ("(art. 395 L 9418)", 1), ("cfr. art. 227, 9.481, in fine", 2), ("arts. 135, 138 y 147 Ley 9418", 1), ("Ley 9.418, art. 92 inc. a)", 1), ("lo dispuesto por LTV en su art. 4", 3), ("artículo 131° CPCU y concs.", 4), ("ARTÍCULOS 3 Y 7 DEL cpcup", 5), ("Ley 9.418 arts. 132/139", 1),
     ],
 )
-def test_typed_values(typed, source):
-    assert canon.Linker([r[:3] for r in REFERENCE]).nearest(typed)[1] == source
+def test_typed_values(linker, typed, source):
+    assert linker.nearest(typed)[1] == source
+
+
+AMBIGUOUS = [(10, "Código Penal (CP)", "CP"), (11, "Código Postal (CP)", "CP"), (12, "Ley 77", None), (13, "Ley 77 (Ley de Puertos)", None), (14, "Puertos", None), (15, "Ley 5 (Puertos)", "Puertos")]
+
+
+def test_keys_of_several_entries_whatever_the_shards(spark):
+    """CP is nobody's; Puertos is the entry's whose whole name it is; of two entries of one name the smaller id."""
+    reference = spark.createDataFrame(AMBIGUOUS, "source_id bigint, canonical_name string, short_name string")
+    typed = ["CP", "cp", "puertos", "Ley 77", "Código Penal", "codigo postal", "Ley 5", "Ley 78"]
+    values = spark.createDataFrame([(v,) for v in typed * 2], "value string")
+    want = {"CP": -1, "cp": -1, "puertos": 14, "Ley 77": 12, "Código Penal": 10, "codigo postal": 11, "Ley 5": 15, "Ley 78": -1}
+    for shard, block in ((canon.SHARD, canon.BLOCK), (1, 3), (2, 1), (3, 100), (7, 2)):
+        out = canon.link(values, reference, shard=shard, block=block).collect()
+        assert len(out) == len(typed) * 2 and {r.value: r.source_id for r in out} == want
 
 
 def test_shards_answer_as_one_tree(spark):
