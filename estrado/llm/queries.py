@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_mix": lambda spark, d: mix.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
         "p9_shares": lambda spark, d: mix.shares(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")),
         "p10_found": lambda spark, d: confusables.found(read_table(spark, d, "documents")),
+        "p10_classes": lambda spark, d: confusables.alike(read_table(spark, d, "documents")),
         "p10_normalized": lambda spark, d: confusables.normalize(read_table(spark, d, "documents"), keep=("doc_id",)),
     }
 
@@ -62,7 +63,16 @@ def _p8() -> str:
 
 
 def _p10() -> str:
+    """Character by character: a table of forms for single characters, one of look-alikes for whole words."""
+    values = lambda table: ", ".join(f"({confusables._quoted(c)}, {confusables._quoted(to)})" for c, to in table.items())
+    plain = confusables.COMPATIBLE | {c: " " for c in confusables.SPACES} | dict(zip(*confusables.MARKS)) | {c: "" for c in confusables.INVISIBLE} | {c: confusables.LOOKALIKE[c] for c in confusables.LATIN}
     return f"""
-WITH n AS (SELECT doc_id, text, {confusables.normal_sql('text')} AS form FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+WITH plain(c, p) AS (VALUES {values(plain)}), latin(f, l) AS (VALUES {values(confusables.LOOKALIKE | confusables.MARKED)}),
+chars AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS c FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents WHERE text IS NOT NULL)),
+forms AS (SELECT doc_id, pos, coalesce(p, c) AS f FROM chars LEFT JOIN plain USING (c)),
+words AS (SELECT *, sum(CASE WHEN regexp_matches(f, '^\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM forms),
+looks AS (SELECT *, bool_and(l IS NOT NULL OR NOT regexp_matches(f, '[\\p{{Greek}}\\p{{Cyrillic}}]')) OVER (PARTITION BY doc_id, w) AS whole FROM words LEFT JOIN latin USING (f)),
+n AS (SELECT doc_id, nfc_normalize(string_agg(CASE WHEN whole THEN coalesce(l, f) ELSE f END, '' ORDER BY pos)) AS form FROM looks GROUP BY doc_id),
+t AS (SELECT doc_id, text, form FROM n JOIN documents USING (doc_id))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
 """

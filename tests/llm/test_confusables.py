@@ -46,3 +46,14 @@ def test_null_repeated_empty(spark):
     assert pairs(spark, []) == set()
     unseen = "a" + chr(0x200B)
     assert pairs(spark, [(None, unseen), (1, "a"), (1, "a"), (2, unseen), (3, None), (4, ""), (5, " ")]) == {(1, 2)}
+
+
+@pytest.mark.parametrize(("typed", "form"), [("oﬁcio", "oficio"), ("𝗔rt. 𝟏", "Art. 1"), ("ｶﾞﾗｽ", "ガラス"), ("αrt", "art"), ("Αcción", "Acción"), ("reclamó".replace("ó", "ό"), "reclamó"), ("art. Ⅷ", "art. VIII"), ("dıce", "dice"), ("ɡuardia y ɑrte", "guardia y arte"), ("①", "①"), ("10º m²", "10º m²"), ("½ ﬅ", "½ ﬅ"), ("Ёлка", "Ёлка")])
+def test_forms(spark, typed, form):
+    rows = spark.createDataFrame([(1, typed), (2, form)], SCHEMA)
+    assert {r.normal for r in confusables.normalize(rows).collect()} == {unicodedata.normalize("NFC", form)}
+
+
+def test_a_class_held_by_copies(spark):
+    rows = [(n, "casa") for n in range(40)] + [(100, "c" + chr(0x430) + "sa"), (101, "ca" + chr(0x200B) + "sa")]
+    assert pairs(spark, rows) == {(n, m) for n in range(40) for m in (100, 101)} | {(100, 101)}
