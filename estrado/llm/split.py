@@ -1,7 +1,9 @@
 """Problem 5: items above a size limit, cut at natural boundaries by recursive bisection.
 
-A stretch that is too long is cut at the strongest boundary near its middle, and both halves again, until every piece
-fits the limit less the overlap; then each piece takes in up to ``overlap`` characters of what precedes it.
+A stretch that is too long is cut at its strongest boundary, of several the one nearest to the middle, and both parts
+again, until every part fits the limit less the overlap. Neighbours that fit together are joined again, and each piece
+takes in up to ``overlap`` characters of what precedes it. The weakest boundary at which a stretch over the limit had to be
+cut is the level of the item.
 """
 
 from __future__ import annotations
@@ -48,57 +50,65 @@ def boundaries(text: str) -> tuple[list[int], list[int], list[int]]:
     return lines, sentences, [m.end() for m in re.finditer(r"\s+", text) if m.end() < len(text)]
 
 
-def level_of(text: str, limit: int, marks: tuple[list[int], ...] | None = None) -> str:
-    """The coarsest boundaries that leave no stretch over ``limit``; white space at a stretch's end doesn't count."""
-    for level, starts in zip(LEVELS, marks or boundaries(text)):
-        edges = [0, *starts, len(text)]
-        if all(b - a <= limit or len(text[a:b].rstrip()) <= limit for a, b in zip(edges, edges[1:])):
-            return level
-    return LEVELS[-1]
+def bisection(text: str, room: int, limit: int, marks: tuple[list[int], ...] | None = None) -> tuple[list[int], str]:
+    """(places of all cuts, level): cuts until no stretch is longer than ``room``.
 
-
-def bisect(text: str, limit: int = LIMIT, overlap: int = OVERLAP, marks: tuple[list[int], ...] | None = None) -> list[tuple[int, int, int]]:
-    """(start with overlap, own start, end) of the pieces of ``text``; a text within the limit is one piece.
-
-    Own parts follow each other without gaps, so they restore the text. Characters outside white space are never lost;
-    between words longer than a piece a cut may fall inside a word.
+    The level is that of the weakest cut of a stretch over ``limit``, white space at its end aside: such a stretch holds no
+    stronger boundary, and a text whose stronger boundaries leave none over the limit is never cut at a weaker one there.
     """
-    if limit <= 0 or not 0 <= overlap < limit:
-        raise ValueError("limit must be positive and overlap less than limit")
-    if len(text) <= limit:
-        return [(0, 0, len(text))]
     marks = marks or boundaries(text)
-    room, cuts, todo = limit - overlap, [], [(0, len(text))]
+    cuts, weakest, todo = [], 0, [(0, len(text))]
     while todo:
         a, b = todo.pop()
         if b - a <= room:
             continue
-        middle, reach = (a + b) // 2, (b - a) // 4
-        cut = None
-        for starts in marks:
-            near = [starts[i] for i in _around(starts, middle) if abs(starts[i] - middle) <= reach]
-            if near:
-                cut = min(near, key=lambda x: (abs(x - middle), x))
+        middle = (a + b) // 2
+        cut, level = middle, len(marks)
+        for n, starts in enumerate(marks):
+            lo, hi = bisect_right(starts, a), bisect_left(starts, b)
+            if lo < hi:
+                at = bisect_left(starts, middle, lo, hi)
+                cut, level = min((starts[i] for i in (at - 1, at) if lo <= i < hi), key=lambda x: (abs(x - middle), x)), n
                 break
-        if cut is None:
-            cut = middle
+        if level > weakest and b - a > limit and len(text[a:b].rstrip()) > limit:
+            weakest = level
         cuts.append(cut)
         todo += [(a, cut), (cut, b)]
-    edges = [0, *sorted(cuts), len(text)]
+    return sorted(cuts), LEVELS[weakest]
+
+
+def level_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> str:
+    """The coarsest boundaries that leave no stretch over ``limit``, as the bisection finds them."""
+    return bisection(text, limit - overlap if len(text) > limit else limit, limit)[1]
+
+
+def bisect(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], str]:
+    """((start with overlap, own start, end) of the pieces of ``text``, level); a text within the limit is one piece.
+
+    Own parts follow each other without gaps, so they restore the text. Characters outside white space are never lost;
+    between words longer than a piece a cut may fall inside a word.
+    """
+    if limit <= 0 or not 0 <= overlap < limit:
+        raise ValueError("limit must be positive and overlap less than limit")
+    if len(text) <= limit:
+        return [(0, 0, len(text))], LEVELS[0]
+    marks = boundaries(text)
+    room, words = limit - overlap, marks[2]
+    cuts, level = bisection(text, room, limit, marks)
+    parts: list[list[int]] = []
+    for a, b in zip([0, *cuts], [*cuts, len(text)]):
+        if parts and b - parts[-1][0] <= room:
+            parts[-1][1] = b
+        else:
+            parts.append([a, b])
     out = []
-    for a, b in zip(edges, edges[1:]):
+    for a, b in parts:
         back = max(0, a - overlap)
         if a and back:
-            starts = marks[2]
-            i = bisect_left(starts, back)
-            back = starts[i] if i < len(starts) and starts[i] < a else back if i >= len(starts) or starts[i] > a else a
+            i = bisect_left(words, back)
+            back = words[i] if i < len(words) and words[i] < a else back if i >= len(words) or words[i] > a else a
         out.append((back, a, b))
-    return out
-
-
-def _around(starts: list[int], at: int) -> range:
-    i = bisect_right(starts, at)
-    return range(max(0, i - 1), min(len(starts), i + 1))
+    return out, level
 
 
 PIECE = "level string, piece int, piece_start int, own_start int, piece_end int, piece_text string"
@@ -119,9 +129,8 @@ def pieces(items: DataFrame, text: str = "text", limit: int = LIMIT, overlap: in
         for batch in batches:
             rows, owner = [], []
             for n, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                marks = boundaries(value) if len(value) > limit else ([], [], [])
-                level = level_of(value, limit, marks)
-                for k, (start, own, end) in enumerate(bisect(value, limit, overlap, marks)):
+                cut, level = bisect(value, limit, overlap)
+                for k, (start, own, end) in enumerate(cut):
                     rows.append((level, k, start, own, end, value[start:end] if with_text else None))
                     owner.append(n)
             if rows:
@@ -166,6 +175,6 @@ def all_pieces(files: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def found(files: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """p5_found: every oversize paragraph and the boundaries that suffice for it."""
+    """p5_found: every oversize paragraph and the boundaries that suffice for it, as its bisection shows."""
     cut = pieces(items(files, paragraphs, LIMIT), only_long=True, with_text=False)
     return cut.where("piece = 0").select("tbl", "row_id", "obj_pos", "section", "para_pos", "level").distinct()

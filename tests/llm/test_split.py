@@ -14,7 +14,7 @@ SENTENCE = "El recurso del Dr. Paz fue rechazado con costas al vencido en todas
 @given(st.text("ab .\nÁ", max_size=400), st.integers(5, 60), st.data())
 def test_pieces_restore_the_text_within_limits(text, limit, data):
     overlap = data.draw(st.integers(0, limit - 1))
-    out = split.bisect(text, limit, overlap)
+    out, _ = split.bisect(text, limit, overlap)
     assert "".join(text[own:end] for _, own, end in out) == text
     assert all(end - start <= limit and start <= own and own - start <= overlap for start, own, end in out)
     assert len(text) > limit or len(out) == 1
@@ -22,7 +22,7 @@ def test_pieces_restore_the_text_within_limits(text, limit, data):
 
 def test_cuts_at_the_strongest_boundary():
     lines = "\n".join(SENTENCE * 5 for _ in range(4))
-    out = split.bisect(lines, 1024, 128)
+    out, _ = split.bisect(lines, 1024, 128)
     assert all(lines[own - 1] in "\n " and (lines[own].isupper()) for _, own, _ in out[1:])
     assert all(lines[start - 1].isspace() for start, _, _ in out[1:])
 
@@ -35,6 +35,23 @@ def test_levels(text, level):
     assert split.level_of(text, 1024) == level
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("aB. \n", max_size=300), st.integers(5, 60), st.data())
+def test_level_is_that_of_the_gaps_between_boundaries(text, limit, data):
+    """The bisection's level against a plain look at all gaps."""
+
+    def plain():
+        if len(text) <= limit:
+            return "linea"
+        for level, starts in zip(split.LEVELS, split.boundaries(text)):
+            edges = [0, *starts, len(text)]
+            if all(len(text[a:b].rstrip()) <= limit for a, b in zip(edges, edges[1:])):
+                return level
+        return "nada"
+
+    assert split.bisect(text, limit, data.draw(st.integers(0, limit - 1)))[1] == plain()
+
+
 @pytest.mark.parametrize(("text", "starts"), [("Uno. Dos", [5]), ("el Sr. Paz", []), ("J. Paz", []), ("¿Sí? No", [5]), ("fin. ¿Qué", [5]), ("a. b", []), ("art. 5. La", [8]), ("N.N. Paz", []), ('dijo." Luego', [7])])
 def test_sentence_starts(text, starts):
     assert split.sentence_starts(text) == starts
