@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of a basket that one task pairs at once; larger baskets go out as pairs of blocks to many tasks.
+#: Items of a basket that are paired at once; larger baskets are cut into blocks first and go out as pairs of blocks.
 BLOCK = 512
 
 
@@ -26,15 +26,17 @@ def cooccurrences(items: DataFrame, basket: str, item: str, group: str | None =
     baskets = rows.agg(F.countDistinct("_b").alias("n_baskets"))
     support = rows.groupBy("_i").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     frequent = rows.join(support, "_i")
-    whole = frequent.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_g"))).alias("_s")).where(F.size("_s") > 1)
-    small = whole.where(F.size("_s") <= BLOCK).select(F.col("_s").alias("x"), F.col("_s").alias("y"), F.lit(True).alias("own"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / BLOCK).cast("int")), lambda k: F.slice("_s", k * BLOCK + 1, F.lit(BLOCK)))
-    large = whole.where(F.size("_s") > BLOCK).select(blocks.alias("_k"))
-    large = large.select("_k", F.posexplode("_k").alias("p", "x"))
-    large = large.select("p", "x", F.posexplode(F.expr("slice(_k, p + 1, size(_k))")).alias("q", "y")).select("x", "y", (F.col("q") == 0).alias("own"))
-    pairs = small.unionByName(large.repartition(F.xxhash64("x", "y")))
-    pairs = pairs.select(F.explode("x").alias("a"), "y", "own").select("a", "own", F.explode("y").alias("b"))
-    pairs = pairs.where((~F.col("own") | (F.col("a._i") < F.col("b._i"))) & (F.lit(group is None) | ~F.col("a._g").eqNullSafe(F.col("b._g"))))
+    # Blocks by the items' hash, so that no row ever holds more of a basket than about a block.
+    sizes = frequent.groupBy("_b").agg(F.count("*").alias("_n")).where("_n > 1").select("_b", F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
+    placed = frequent.join(sizes, "_b").withColumn("_k", F.pmod(F.xxhash64("_i"), F.col("_blocks")))
+    blocks = placed.groupBy("_b", "_blocks", "_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_g"))).alias("_s"))
+    apart = lambda y: F.lit(True) if group is None else ~F.col("a._g").eqNullSafe(y["_g"])
+    own = blocks.select(F.posexplode("_s").alias("_p", "a"), "_s").select("a", F.explode(F.filter(F.slice("_s", F.col("_p") + 2, F.size("_s")), apart)).alias("b"))
+    large = blocks.where("_blocks > 1")
+    left = large.where("_k < _blocks - 1").select("_b", F.col("_k").alias("_x"), F.explode(F.sequence(F.col("_k") + 1, F.col("_blocks") - 1)).alias("_y"), "_s")
+    right = large.where("_k > 0").select("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_x"), F.col("_k").alias("_y"), F.col("_s").alias("_t"))
+    across = left.join(right, ["_b", "_x", "_y"]).select(F.explode("_s").alias("a"), "_t").select("a", F.explode(F.filter("_t", apart)).alias("b"))
+    pairs = own.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     counts = pairs.groupBy(F.col("a._i").alias("item_a"), F.col("b._i").alias("item_b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     of = lambda side: support.select(F.col("_i").alias(f"item_{side}"), F.col("_n").alias(f"n_{side}"))
     out = counts.join(of("a"), "item_a").join(of("b"), "item_b").crossJoin(F.broadcast(baskets))  # baskets: one row

@@ -22,7 +22,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of the hash that one histogram looks at, and all bits used.
 STEP, BITS = 10, 60
-#: Most sources of a target list.
+#: Target sources that are planned, and sent to the tasks, at once; longer lists are planned in blocks.
 SOURCES = 10_000
 
 
@@ -58,31 +58,33 @@ def _sized(documents: DataFrame, vocabulary: str) -> DataFrame:
     return materialize(count_tokens(rows, vocabulary).where("n_tokens > 0").withColumn("h", hashed))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict[str, Any]]:
-    """For each target source: tokens held, wanted, how often all is used, and the hash below which once more.
+def plan(sized: DataFrame, targets: DataFrame, total: int | None = None, block: int = SOURCES) -> DataFrame:
+    """(source, target_share, max_repeats, held, rounds, below): for each target source the tokens held, how often all of
+    them are used, and the hash below which once more.
 
     ``total``: tokens of the whole mixture; by default the most for which every source that holds anything keeps its
-    share within its repeats. Shares of sources that hold nothing go to the others in proportion.
+    share within its repeats. Shares of sources that hold nothing go to the others in proportion. Lists of more than
+    ``block`` sources are planned block by block, so the driver never holds more.
     """
-    aims = targets.where("source is not null and target_share > 0").groupBy(source_label(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    aims = aims.limit(SOURCES + 1).collect()
-    if len(aims) > SOURCES:
-        raise ValueError(f"more than {SOURCES} target sources")
-    wanted = [r["source"] for r in aims]
-    mine = sized.where(F.col("source").isin(wanted))
-    held = {r["source"]: r["n"] for r in mine.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    rows = [{"source": r["source"], "target_share": r["share"], "max_repeats": max(0, r["repeats"] or 0), "held": held.get(r["source"], 0)} for r in aims]
-    live = [r for r in rows if r["held"] and r["max_repeats"]]
-    shares = sum(r["target_share"] for r in live)
-    most = min((r["held"] * r["max_repeats"] * shares / r["target_share"] for r in live), default=0)
-    total = most if total is None else total
-    for r in rows:
-        r |= {"wanted": 0.0, "rounds": 0, "below": 0, "rest": 0}
-        if r in live:
-            r["wanted"] = min(r["target_share"] / shares * total, r["held"] * r["max_repeats"])
-            r["rounds"] = int(r["wanted"] // r["held"])
-            r["rest"] = r["wanted"] - r["rounds"] * r["held"] if r["rounds"] < r["max_repeats"] else 0
-    return _thresholds(mine, rows)
+    aims = targets.where("source is not null and target_share > 0").groupBy(source_label(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
+    tokens = sized.groupBy("source").agg(F.sum("n_tokens").alias("held"))
+    rows = materialize(aims.join(tokens, "source", "left").fillna(0, ["held"]).withColumn("live", F.expr("held > 0 and max_repeats > 0")))
+    whole = rows.where("live").agg(F.sum("target_share").alias("shares"), F.min(F.col("held") * F.col("max_repeats") / F.col("target_share")).alias("most")).first()
+    shares = whole["shares"] or 1.0
+    total = (whole["most"] or 0.0) * shares if total is None else total
+    allowed = F.col("held") * F.col("max_repeats")
+    wanted = F.when(F.col("live"), F.least(F.col("target_share") / shares * float(total), allowed.cast("double"))).otherwise(0.0)
+    rows = rows.withColumn("wanted", wanted).withColumn("rounds", F.when(F.col("live"), F.floor(F.col("wanted") / F.col("held"))).otherwise(0).cast("int"))
+    rows = rows.withColumn("rest", F.when(F.col("live") & (F.col("rounds") < F.col("max_repeats")), F.col("wanted") - F.col("rounds") * F.col("held")).otherwise(0.0))
+    blocks = max(1, -(-rows.count() // block))
+    kept = ["source", "target_share", "max_repeats", "held", "rounds"]
+    out = None
+    for k in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == k) if blocks > 1 else rows
+        held = [r.asDict() | {"below": 0} for r in part.select(*kept, "rest").collect()]
+        found = sized.sparkSession.createDataFrame([tuple(r[c] for c in (*kept, "below")) for r in _thresholds(sized, held)], "source string, target_share double, max_repeats int, held long, rounds int, below long")
+        out = found if out is None else out.unionByName(found)
+    return materialize(out) if blocks > 1 else out
 
 
 def _thresholds(sized: DataFrame, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
@@ -92,7 +94,7 @@ def _thresholds(sized: DataFrame, rows: list[dict[str, Any]]) -> list[dict[str,
         if not open_:
             break
         spark = sized.sparkSession
-        bounds = spark.createDataFrame([(s, r["below"], float(r["rest"])) for s, r in open_.items()], "source string, low long, rest double")
+        bounds = spark.createDataFrame([(s, r["below"], float(r["rest"])) for s, r in open_.items()], "source string, low long, rest double")  # at most a block of sources
         inside = sized.join(F.broadcast(bounds), "source").where(F.shiftrightunsigned("h", shift + STEP) == F.shiftrightunsigned("low", shift + STEP))
         buckets = inside.groupBy("source", "rest", F.shiftrightunsigned("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**STEP rows
@@ -126,17 +128,18 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     return _used(sized, plan(sized, targets, total))
 
 
-def _used(sized: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
-    aims = sized.sparkSession.createDataFrame([(r["source"], r["rounds"], r["below"]) for r in rows], "source string, rounds int, below long")
+def _used(sized: DataFrame, aims: DataFrame) -> DataFrame:
+    few = aims.select("source", "rounds", "below")
+    few = F.broadcast(few) if aims.limit(SOURCES + 1).count() <= SOURCES else few
     copies = F.col("rounds") + (F.col("h") < F.col("below")).cast("int")
-    return sized.join(F.broadcast(aims), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")  # aims: at most SOURCES rows
+    return sized.join(few, "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def shares(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: int | None = None) -> DataFrame:
     """(source, held, max_repeats, target_share, used_tokens, used_documents, most_copies, actual_share) of the mixture."""
     sized = _sized(documents, vocabulary)
-    rows = plan(sized, targets, total)
-    used = _used(sized, rows).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies"))
-    aims = sized.sparkSession.createDataFrame([(r["source"], r["held"], r["max_repeats"], float(r["target_share"])) for r in rows], "source string, held long, max_repeats int, target_share double")
-    out = aims.join(used, "source", "left").fillna(0, ["used_tokens", "used_documents", "most_copies"])
-    return out.withColumn("actual_share", F.try_divide("used_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))))  # a row for each source
+    aims = plan(sized, targets, total)
+    used = materialize(_used(sized, aims).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies")))
+    every = used.agg(F.sum("used_tokens").alias("every"))
+    out = aims.select("source", "held", "max_repeats", "target_share").join(used, "source", "left").fillna(0, ["used_tokens", "used_documents", "most_copies"])
+    return out.crossJoin(F.broadcast(every)).withColumn("actual_share", F.try_divide("used_tokens", "every")).drop("every")  # every: one row

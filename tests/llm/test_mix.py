@@ -52,3 +52,21 @@ def test_tokens_nulls_and_empty(spark):
 def test_more_than_the_caps_allow_gives_all_they_allow(spark):
     rows = {r.source: r for r in mix.shares(documents(spark), targets(spark), total=10**9).collect()}
     assert all(r.used_tokens == r.held * r.max_repeats for r in rows.values())
+
+
+def test_any_number_of_sources_is_planned_in_blocks(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 30).alias("source"), F.expr("repeat('palabra ', cast(1 + id % 7 as int))").alias("text"))
+    aims = spark.range(40).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(0.025).alias("target_share"), (1 + F.col("id") % 3).cast("int").alias("max_repeats"))
+    sized = mix._sized(docs, mix.VOCABULARY)
+    one = sorted(map(tuple, mix.plan(sized, aims).collect()))
+    assert len(one) == 40 and one == sorted(map(tuple, mix.plan(sized, aims, block=7).collect()))
+
+
+def test_no_source_misses_its_share_by_more_than_a_document(spark):
+    """Against the stated targets, on documents of very uneven sizes."""
+    rows = spark.createDataFrame([(n, "abc"[n % 3], "palabra " * (1 + n * n % 900)) for n in range(600)], "doc_id long, source string, text string")
+    out = mix.mix(rows, targets(spark), total=60_000)
+    used = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    largest = mix.count_tokens(rows).agg(F.max("n_tokens")).first()[0]
+    for source, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert abs(used[source] - 60_000 * share) <= largest / 2 + 1
