@@ -5,12 +5,15 @@ Burrows-Wheeler transform of its word sequence, held as a wavelet matrix for ran
 phrases of ten words of the evaluation items are searched backwards at once; occurrences are located through the
 samples and merged into removal spans by document and item.
 
-Words that no item holds can't be part of an occurrence. They share one symbol, which ends a run; runs shorter than a
-phrase are left out of the index, as nothing can occur in them.
+Where the items' phrases fit into every task, index and search are one pass over the corpus. Words that no item holds
+can't be part of an occurrence then: they share one symbol, which ends a run, and runs shorter than a phrase are left out.
+More phrases are searched block by block in indexes that were built and written once, each with the alphabet of its own
+shard, so the corpus is read once whatever the number of items.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,17 +21,20 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estrado.llm.confusables import FULL_WIDTH, INVISIBLE, LOOKALIKE
+from estrado.plans.scratch import materialize
 
 PHRASE = 10
 #: Most indexed words of a shard; every shard is searched for all phrases.
 SHARD = 1_500_000
+#: Most words of a shard whose index is written.
+STORED = 200_000
 #: Every so many positions of the text one suffix position is kept.
 SAMPLE = 8
-#: Most evaluation phrases that travel to every task; beyond it the items are searched for in blocks of so many.
+#: Most evaluation phrases, counted by characters from above, that travel to every task; more go in blocks of about so many.
 PHRASES = 2_000_000
 
 _LOOKS = str.maketrans({**{c: None for c in INVISIBLE}, **dict(zip(*FULL_WIDTH)), **LOOKALIKE})
@@ -116,6 +122,17 @@ class FMIndex:
         self.kept = np.concatenate(([0], np.cumsum(kept)))
         self.sampled = order[kept]
 
+    def state(self) -> tuple[Any, ...]:
+        """What ``of`` needs, of plain types only, as workers need no installed package."""
+        return self.n, self.bwt.bits, self.bwt.ones, self.bwt.zeros, self.before, self.kept, self.sampled
+
+    @classmethod
+    def of(cls, state: tuple[Any, ...]) -> FMIndex:
+        index = cls.__new__(cls)
+        index.bwt = WaveletMatrix.__new__(WaveletMatrix)
+        index.n, index.bwt.bits, index.bwt.ones, index.bwt.zeros, index.before, index.kept, index.sampled = state
+        return index
+
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of the suffixes that begin with each phrase (a row of symbols)."""
         lo = np.zeros(len(phrases), np.int64)
@@ -163,22 +180,124 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = PHRASE, block: int
     """(doc_id, item_id, word_from, word_to): merged spans of words of a document that stand in an item.
 
     Spans hold at least ``size`` consecutive words of the item, word_to is exclusive. Null texts, null ids, empty texts
-    and items of fewer words leak nothing; equal documents under other ids, and repeated rows, each have their own spans,
-    repeated rows' spans merged once; texts of any length are read whole; other columns are ignored.
+    and items of fewer words leak nothing; equal documents under other ids have their own spans, repeated rows the same
+    spans once; texts of any length are read whole; other columns are ignored. ``block`` changes no result.
     """
+    of = Window.partitionBy("doc_id", "item_id").orderBy("word_from", "word_to")
+    before = F.max("word_to").over(of.rowsBetween(Window.unboundedPreceding, -1))
+    hits = occurrences(documents, items, size, block).distinct().withColumn("_new", (F.coalesce(before, F.lit(-1)) < F.col("word_from")).cast("int"))
+    hits = hits.withColumn("_span", F.sum("_new").over(of))
+    return hits.groupBy("doc_id", "item_id", "_span").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to")).drop("_span")
+
+
+def occurrences(documents: DataFrame, items: DataFrame, size: int = PHRASE, block: int = PHRASES) -> DataFrame:
+    """Spans as in ``leaks``, those of one shard and block merged only."""
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0  # characters are at least as many as phrases
-    count = max(1, -(-total // block))
+    if total <= block:
+        symbols, phrases, owners = phrases_of([tuple(r) for r in asked.collect()], size)
+        return texts.mapInArrow(_searcher(symbols, phrases, owners, size), _SPANS)
+    index = materialize(texts.mapInArrow(_indexer(size), "shard binary"))
+    wanted = materialize(asked.mapInArrow(_phrases(size), "item_id bigint, phrase string").distinct())
+    count = max(1, -(-wanted.count() // block))
     out = None
-    for k in range(count):  # a stated set of items, in blocks of bounded size
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k) if count > 1 else asked
-        symbols, phrases, owners = phrases_of([tuple(r) for r in part.collect()], size)
-        found = texts.mapInArrow(_searcher(symbols, phrases, owners, size), _SPANS)
+    for k in range(count):  # a stated set of phrases, in blocks of about ``block`` rows
+        part = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("phrase"), F.lit(count)) == k).collect()]
+        found = index.mapInArrow(_stored_searcher(part, size), _SPANS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _phrases(size: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = text_words(text)
+                rows += [(item, " ".join(words[k : k + size])) for k in range(len(words) - size + 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string()))], names=["item_id", "phrase"])
+
+    return run
+
+
+def _indexer(size: int) -> Any:
+    """FM-indexes of shards of at most STORED words, documents beyond it in overlapping parts, ready to be written."""
+
+    def shard(docs: list[int], starts: list[int], runs: list[list[str]]) -> pa.RecordBatch:
+        symbols: dict[str, int] = {}
+        text = np.fromiter((s for run in runs for s in (*(symbols.setdefault(w, len(symbols) + 2) for w in run), 1)), np.int64)
+        begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in runs])[:-1]))
+        held = pickle.dumps((symbols, np.array(docs, np.int64), np.array(starts, np.int64), begin, FMIndex(text, len(symbols) + 2).state()))
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.binary())], names=["shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, starts, runs, held = [], [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = text_words(text.as_py())
+                for at in range(0, len(words) - size + 1, STORED):
+                    part = words[at : at + STORED + size - 1]
+                    docs.append(doc)
+                    starts.append(at)
+                    runs.append(part)
+                    held += len(part) + 1
+                    if held >= STORED:
+                        yield shard(docs, starts, runs)
+                        docs, starts, runs, held = [], [], [], 0
+        if runs:
+            yield shard(docs, starts, runs)
+
+    return run
+
+
+def _stored_searcher(asked: list[tuple[int, str]], size: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for item, phrase in asked:
+            known.setdefault(phrase, []).append(item)
+        for batch in batches:
+            for held in batch.column(0):
+                symbols, docs, starts, begin, state = pickle.loads(held.as_py())
+                rows, owners = [], []
+                for phrase, items in known.items():
+                    ids = [symbols.get(w, 0) for w in phrase.split(" ")]
+                    if all(ids):
+                        owners += [(len(rows), item) for item in items]
+                        rows.append(ids)
+                if rows:
+                    own = np.array(owners, np.int64)
+                    found = _spans(FMIndex.of(state), np.array(rows, np.int64), own, np.searchsorted(own[:, 0], np.arange(len(rows) + 1)), docs, starts, begin, size)
+                    if found is not None:
+                        yield found
+
+    return run
+
+
+def _spans(index: FMIndex, phrases: np.ndarray, owners: np.ndarray, first: np.ndarray, docs: np.ndarray, starts: np.ndarray, begin: np.ndarray, size: int) -> pa.RecordBatch | None:
+    """The merged spans of a shard's documents; run k of its text begins at begin[k] and at word starts[k] of docs[k]."""
+    lo, hi = index.search(phrases)
+    hit = np.nonzero(hi > lo)[0]
+    if not len(hit):
+        return None
+    per = hi[hit] - lo[hit]
+    rows = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
+    phrase = np.repeat(hit, per)
+    place = index.locate(rows)
+    run = np.searchsorted(begin, place, "right") - 1
+    word = starts[run] + place - begin[run]
+    doc = docs[run]
+    many = first[phrase + 1] - first[phrase]
+    own = np.repeat(first[phrase] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    doc, word, item = np.repeat(doc, many), np.repeat(word, many), owners[own, 1]
+    order = np.lexsort((word, item, doc))
+    doc, word, item = doc[order], word[order], item[order]
+    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + size)))
+    last = np.append(np.nonzero(fresh)[0][1:] - 1, len(doc) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(doc[fresh]), pa.array(item[fresh]), pa.array(word[fresh], pa.int32()), pa.array(word[last] + size, pa.int32())], names=["doc_id", "item_id", "word_from", "word_to"])
+
+
 def _searcher(symbols: dict[str, int], phrases: np.ndarray, owners: np.ndarray, size: int) -> Any:
     first = np.searchsorted(owners[:, 0], np.arange(len(phrases) + 1)) if len(owners) else None
 
@@ -187,26 +306,7 @@ def _searcher(symbols: dict[str, int], phrases: np.ndarray, owners: np.ndarray,
         lengths = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
         text = np.fromiter((s for run in runs for s in (*run, 1)), np.int64, int(lengths.sum()))
         begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        index = FMIndex(text, len(symbols) + 2)
-        lo, hi = index.search(phrases)
-        hit = np.nonzero(hi > lo)[0]
-        if not len(hit):
-            return None
-        per = hi[hit] - lo[hit]
-        rows = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
-        phrase = np.repeat(hit, per)
-        place = index.locate(rows)
-        run = np.searchsorted(begin, place, "right") - 1
-        word = np.asarray(starts, np.int64)[run] + place - begin[run]
-        doc = np.asarray(docs, np.int64)[run]
-        many = first[phrase + 1] - first[phrase]
-        own = np.repeat(first[phrase] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        doc, word, item = np.repeat(doc, many), np.repeat(word, many), owners[own, 1]
-        order = np.lexsort((word, item, doc))
-        doc, word, item = doc[order], word[order], item[order]
-        fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + size)))
-        last = np.append(np.nonzero(fresh)[0][1:] - 1, len(doc) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(doc[fresh]), pa.array(item[fresh]), pa.array(word[fresh], pa.int32()), pa.array(word[last] + size, pa.int32())], names=["doc_id", "item_id", "word_from", "word_to"])
+        return _spans(FMIndex(text, len(symbols) + 2), phrases, owners, first, np.asarray(docs, np.int64), np.asarray(starts, np.int64), begin, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(phrases):
@@ -246,7 +346,7 @@ def _searcher(symbols: dict[str, int], phrases: np.ndarray, owners: np.ndarray,
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """p8_found: every document that has ten consecutive words of an item, with the item; see ``leaks`` for nulls and the like."""
-    return leaks(documents, items).select("doc_id", "item_id").distinct()
+    return occurrences(documents, items).select("doc_id", "item_id").distinct()
 
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from estrado.plans.scratch import materialize
 
-#: Ranks of a public byte-level BPE; the path is a parameter of every function that needs it.
+#: Ranks of a public byte-level BPE; the path, on the driver's machine, is a parameter of every function that needs it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of that vocabulary; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,9 @@ def source_label(column: Any) -> Any:
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """``documents`` without ``text``, with its number of tokens; null and empty texts have 0."""
+    """``documents`` without ``text``, with its number of tokens; null and empty texts have 0. Spark ships the vocabulary to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = vocabulary.rpartition("/")[2]
     kept = [c for c in documents.columns if c not in (text, into)]
     source = documents.select(*kept, F.col(text).alias("_text"))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text"), f"`{into}` bigint"])
@@ -41,8 +43,9 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str =
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:

@@ -57,6 +57,17 @@ def test_documents_like_brute_force(spark, monkeypatch, shard):
     assert {tuple(r) for r in leak.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block=60).select("doc_id", "item_id").distinct().collect()} == brute(docs, items)
 
 
+@pytest.mark.parametrize("stored", [25, 200_000])
+def test_written_indexes_give_the_same_spans(spark, monkeypatch, stored):
+    monkeypatch.setattr(leak, "STORED", stored)
+    r = random.Random(9)
+    items = spark.createDataFrame([(i, " ".join(r.choice(WORDS[:3]) for _ in range(40))) for i in range(5)], ITEMS)
+    docs = spark.createDataFrame([(d, " ".join(r.choice(WORDS[:3]) for _ in range(r.randint(0, 120)))) for d in range(30)] + [(3, "acta " * 30), (90, None)], DOCS)
+    spans = lambda block: sorted(map(tuple, leak.leaks(docs, items, size=5, block=block).collect()))
+    one = spans(leak.PHRASES)
+    assert one and one == spans(100) == spans(7)
+
+
 def test_words_ignore_case_accents_and_looks():
     text = "«" + chr(0xFF21) + "cion  ni" + chr(0x200B) + "ño», di" + chr(0x441) + "é y ÑU_2"
     assert leak.text_words(text) == ["acion", "nino", "dice", "y", "nu", "2"]
