@@ -1,10 +1,10 @@
 """Problem 4: schemas that drift between deliveries.
 
 Every court's rulings are profiled by delivery and field: how many hold it, the types of its values, its place among
-its siblings, and a sketch of its content (the smallest hashes of its lines, mean length). Lasting changes follow from
-the shares by delivery. Fields that vanish and fields that appear at the same delivery under the same parent are
-matched as a bipartite graph weighted by name, content and place; matched pairs are renames, and the unified table
-reads both names as one column.
+its siblings, and sketches of its content (the smallest hashes of its lines, counts of their shapes by hash bucket, mean
+length), all of bounded size. Lasting changes follow from the shares by delivery. Fields that vanish and fields that appear
+at the same delivery under the same parent are matched as a bipartite graph weighted by name, content and place; matched
+pairs are renames, and the unified table reads both names as one field, its values brought to common types.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estrado.operators.nested import citations_of, contents_of, scalar
-from estrado.sources.fallos import first_delivery, iter_rulings
+from estrado.plans.scratch import materialize
+from estrado.sources.fallos import dumps, first_delivery, iter_rulings
 
 ABSENT, PRESENT, TYPED = 0.2, 0.8, 0.8
 #: Hashes kept of a field's lines in each sketch.
@@ -33,8 +34,14 @@ RENAMED = 0.47
 PROSE = 80
 _CITED = "METADATOS.ARTICULOS_CITADOS.citations"
 _PARENTS = frozenset({"METADATOS", "METADATOS.ARTICULOS_CITADOS", "CONTENIDO"})
-_PROFILE = "organo string, lote int, field string, n long, types map<string,long>, place double, chars long, held long, sketch array<long>, shapes map<string,long>"
-_ARROW = pa.schema([("organo", pa.string()), ("lote", pa.int32()), ("field", pa.string()), ("n", pa.int64()), ("types", pa.map_(pa.string(), pa.int64())), ("place", pa.float64()), ("chars", pa.int64()), ("held", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shapes", pa.map_(pa.string(), pa.int64()))])
+#: Buckets that the shapes of lines are counted in, besides the one for running text.
+BUCKETS = 255
+#: Groups of tasks whose sketches are merged first.
+SALT = 32
+#: Most courts with renames that are broadcast.
+COURTS = 100_000
+_PROFILE = "organo string, lote int, field string, salt int, n long, place double, chars long, held long, sketch array<long>, tally map<string,long>"
+_ARROW = pa.schema([("organo", pa.string()), ("lote", pa.int32()), ("field", pa.string()), ("salt", pa.int32()), ("n", pa.int64()), ("place", pa.float64()), ("chars", pa.int64()), ("held", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tally", pa.map_(pa.string(), pa.int64()))])
 
 
 def type_of(value: Any) -> str:
@@ -49,7 +56,10 @@ def type_of(value: Any) -> str:
         return "number"
     if isinstance(value, dict):
         return "object"
-    return f"array<{type_of(value[0]) or 'null'}>"
+    depth = 0
+    while isinstance(value, list) and value:
+        value, depth = value[0], depth + 1
+    return "array<" * depth + (type_of(value) or "null") + ">" * depth
 
 
 def fields_of(ruling: dict[str, Any]) -> Iterator[tuple[str, int, list[Any]]]:
@@ -106,15 +116,16 @@ def members_of(ruling: dict[str, Any]) -> Iterator[tuple[str, Any]]:
 
 
 def _lines(value: Any) -> Iterator[str]:
-    if isinstance(value, list):
-        for item in value:
-            yield from _lines(item)
-    elif isinstance(value, dict):
-        for key, item in value.items():
-            yield key
-            yield from _lines(item)
-    elif value is not None:
-        yield from scalar(value).split("\n")
+    """Lines of all texts of a value of any depth, in order, and the names of its members."""
+    todo = [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += reversed(node)
+        elif isinstance(node, dict):
+            todo += [x for pair in reversed(node.items()) for x in reversed(pair)]
+        elif node is not None:
+            yield from scalar(node).split("\n")
 
 
 def shape_of(line: str) -> str:
@@ -125,19 +136,28 @@ def shape_of(line: str) -> str:
     return re.sub(r"[a-záéíóúñü]+", "a", line)
 
 
+def bucket_of(shape: str) -> str:
+    return shape if shape == "T" else str(zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS)
+
+
 def profile(files: DataFrame) -> DataFrame:
-    """(organo, lote, field, n, types, place, chars, held, sketch); the field '' counts the rulings themselves.
+    """(organo, lote, field, n, place, chars, held, sketch, tally); the field '' counts the rulings themselves.
 
-    Combined within each task before the shuffle. Rows without organo or lote hold no case and are left out.
+    ``tally`` counts types (``t:...``) and buckets of shapes (``s:...``). Combined within each task before the shuffle,
+    counts as rows and sketches in two steps after it, so no row grows with the data. Rows without organo or lote hold no
+    case and are left out.
     """
 
-    def flush(acc: dict) -> pa.RecordBatch:
-        rows = [(o, l, f, a[0], list(a[1].items()), a[2], a[3], a[4], sorted(a[5])[:SKETCH], list(a[6].items())) for (o, l, f), a in acc.items()]
+    def flush(acc: dict, salt: int) -> pa.RecordBatch:
+        rows = [(o, l, f, salt, a[0], a[2], a[3], a[4], sorted(a[5])[:SKETCH], list(a[1].items())) for (o, l, f), a in acc.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALT
         acc: dict[tuple, list] = {}
-        new = lambda: [0, defaultdict(int), 0.0, 0, 0, set(), defaultdict(int)]
+        new = lambda: [0, defaultdict(int), 0.0, 0, 0, set()]
         for batch in batches:
             payloads, organos, lotes = batch.column("payload"), batch.column("organo"), batch.column("lote")
             for n in range(batch.num_rows):
@@ -150,27 +170,30 @@ def profile(files: DataFrame) -> DataFrame:
                         a[2] += pos
                         kind = next(filter(None, map(type_of, values)), "")
                         if kind:
-                            a[1][kind] += 1
+                            a[1][f"t:{kind}"] += 1
                             a[4] += 1
                             sketch = a[5]
                             for line in _lines(values):
                                 a[3] += len(line)
-                                a[6][shape_of(line)] += 1
+                                a[1][f"s:{bucket_of(shape_of(line))}"] += 1
                                 sketch.add(zlib.crc32(line.encode("utf-8", "surrogatepass")))
                             if len(sketch) > 16 * SKETCH:
                                 a[5] = set(sorted(sketch)[:SKETCH])
             if len(acc) > 20_000:
-                yield flush(acc)
+                yield flush(acc, salt)
                 acc.clear()
         if acc:
-            yield flush(acc)
+            yield flush(acc, salt)
 
     source = first_delivery(files.where("organo is not null and lote is not null"), "organo", "lote")
-    parts = source.select("payload", "organo", F.col("lote").cast("int").alias("lote")).mapInArrow(run, _PROFILE)
+    parts = materialize(source.select("payload", "organo", F.col("lote").cast("int").alias("lote")).mapInArrow(run, _PROFILE))
     key = ["organo", "lote", "field"]
-    sums = parts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "place", "chars", "held")], F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch"), F.collect_list("types").alias("types"), F.collect_list("shapes").alias("shapes"))
-    add = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
-    return sums.withColumns({c: F.aggregate(c, F.from_json(F.lit("{}"), "map<string,long>"), add) for c in ("types", "shapes")})
+    numbers = [F.sum(c).alias(c) for c in ("n", "place", "chars", "held")]
+    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch")
+    sums = parts.groupBy(*key, "salt").agg(*numbers, smallest).groupBy(*key).agg(*numbers, smallest)
+    counts = parts.select(*key, F.explode("tally").alias("k", "m")).groupBy(*key, "k").agg(F.sum("m").alias("m"))
+    tally = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("tally"))
+    return sums.join(tally, key, "left")
 
 
 def _changes(lotes: list[tuple[int, int]], found: dict[int, tuple[int, dict[str, int]]]) -> list[tuple[int, str]]:
@@ -318,8 +341,9 @@ def changes(files: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.to_dict("records")
         for row in rows:
+            tally = dict(row["tally"]) if row["tally"] is not None else {}
             for c in ("types", "shapes"):
-                row[c] = dict(row[c]) if row[c] is not None else {}
+                row[c] = {k[2:]: n for k, n in tally.items() if k[0] == c[0]}
             row["sketch"] = list(row["sketch"]) if row["sketch"] is not None else []
         organo = rows[0]["organo"]
         return pd.DataFrame([(organo, *r) for r in court_changes(rows)], columns=["organo", "lote", "change_kind", "field_path", "new_path"])
@@ -327,30 +351,69 @@ def changes(files: DataFrame) -> DataFrame:
     return profile(files).groupBy("organo").applyInPandas(run, "organo string, lote int, change_kind string, field_path string, new_path string")
 
 
-def unified(files: DataFrame) -> DataFrame:
-    """All rulings in one consistent table: (file_id, obj_pos, organo, lote, field_path, value).
+def newest_names(members: list[tuple[str, Any]], renames: list[tuple[int, str, str]]) -> list[str]:
+    """The unified name of each member of a ruling: the end of its chain of renames, unless the ruling holds that too."""
+    to = {old: new for _, old, new in sorted(renames)}
+    taken = {path for path, _ in members}
+    out = []
+    for path, _ in members:
+        seen = [path]
+        while seen[-1] in to and to[seen[-1]] not in seen:
+            seen.append(to[seen[-1]])
+        new = seen[-1]
+        if new != path and new not in taken:
+            taken.add(new)
+            out.append(new)
+        else:
+            out.append(path)
+    return out
+
+
+_PLAIN = re.compile(r"[+-]?\d{1,15}(?:\.\d{1,15})?$")
+
 
-    Long form, so any court's layout fits; renamed fields carry their newest name, values are JSON text whatever their
-    type was, and the fields of citations hold the array of all citations' values. The table holds all that
-    ``members_of`` finds, judges' sections included, more than the fields of the change report. Null members are rows
-    with the text null; unreadable and null payloads give no rows; a file counts once; rows without organo or lote are
-    kept.
+def typed(value: Any) -> tuple[str, list[str | None] | None, float | None]:
+    """(type, items, number): the value's own type, its content as a list of texts, and its number.
+
+    These are the same for a bare text and a list of one, a paragraph object and its text, a number and its digits, so
+    deliveries of either type read alike.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
+    def text(item: Any) -> str | None:
+        return item["texto"] if isinstance(item, dict) and isinstance(item.get("texto"), str) else scalar(item)
+
+    items = None if value is None else [text(v) for v in value] if isinstance(value, list) else [text(value)]
+    only = items[0] if items and len(items) == 1 else None
+    return type_of(value), items, float(only) if only and _PLAIN.match(only) else None
+
 
+def unified(files: DataFrame) -> DataFrame:
+    """All rulings in one consistent table: (file_id, obj_pos, organo, lote, field_path, type, items, number, value).
+
+    Long form, so any court's layout fits. Renamed fields carry their newest name, once a ruling: where it holds the new
+    name too, the old member keeps its own. ``items`` and ``number`` are of one type whatever the value's was (see
+    ``typed``); ``value`` is the JSON text as delivered. The fields of citations hold the array of all citations' values.
+    The table holds all that ``members_of`` finds, judges' sections included, more than the fields of the change report.
+    Null members are rows with the text null; unreadable and null payloads give no rows; a file counts once; rows without
+    organo or lote are kept.
+    """
+    names = ["file_id", "obj_pos", "organo", "lote", "field_path", "type", "items", "number", "value"]
+    types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
+                renames = [(r["lote"], r["field_path"], r["new_path"]) for r in row["_to"] or ()]
                 for pos, ruling in iter_rulings(row["payload"]):
-                    for field, value in members_of(ruling):
-                        rows.append((row["file_id"], pos, row["organo"], row["lote"], field, json.dumps(value, ensure_ascii=False)))
+                    members = list(members_of(ruling))
+                    for field, (_, value) in zip(newest_names(members, renames), members):
+                        rows.append((row["file_id"], pos, row["organo"], row["lote"], field, *typed(value), dumps(value)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file_id", "obj_pos", "organo", "lote", "field_path", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     source = first_delivery(files, "organo", "lote").withColumn("lote", F.col("lote").cast("int"))
-    long = source.mapInArrow(run, "file_id bigint, obj_pos int, organo string, lote int, field_path string, value string")
-    renames = changes(files).where("change_kind = 'renamed'").groupBy("organo").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "new_path"))).alias("_to"))
-    to = F.coalesce(F.try_element_at("_to", F.col("field_path")), F.col("field_path"))
-    return long.join(F.broadcast(renames), "organo", "left").withColumn("field_path", to).drop("_to").select("file_id", "obj_pos", "organo", "lote", "field_path", "value")
+    renames = materialize(changes(files).where("change_kind = 'renamed'").groupBy("organo").agg(F.array_sort(F.collect_list(F.struct("lote", "field_path", "new_path"))).alias("_to")))
+    few = F.broadcast(renames) if renames.count() <= COURTS else renames
+    rows = source.join(few, "organo", "left").select("file_id", "organo", "lote", "payload", "_to")
+    return rows.mapInArrow(run, "file_id bigint, obj_pos int, organo string, lote int, field_path string, type string, items array<string>, number double, value string")

@@ -95,6 +95,73 @@ def test_unified_table_holds_every_member(spark):
     assert {f for ruling in rulings for f, _, _ in drift.fields_of(ruling)} == {"CONTENIDO.INICIO", "METADATOS.MES", f"{cited}.citations.main_source", f"{cited}.citations.extra"}
 
 
+def test_unified_values_are_of_one_type(spark):
+    def make(lote, k):
+        return {"METADATOS": {"ID_FALLO": k if lote < 3 else str(k)}, "CONTENIDO": {"X": "p" if lote < 3 else ["p"], "Y": [{"texto": "q", "orden": 1}] if k else ["q"]}}
+
+    out = drift.unified(spark.createDataFrame(list(court(make)), SCHEMA))
+    one = {(r.field_path, tuple(r["items"]), r.number) for r in out.where("field_path <> 'METADATOS.ID_FALLO'").collect()}
+    assert one == {("CONTENIDO.X", ("p",), None), ("CONTENIDO.Y", ("q",), None)}
+    assert {r.number for r in out.where("field_path = 'METADATOS.ID_FALLO'").collect()} == set(map(float, range(10)))
+    assert {r.type for r in out.where("field_path = 'CONTENIDO.X'").collect()} == {"string", "array<string>"}
+
+
+def test_names_of_a_ruling_are_never_given_twice():
+    renames = [(2, "A", "B"), (4, "B", "C"), (5, "D", "C")]
+    name = lambda *fields: drift.newest_names([(f, 1) for f in fields], renames)
+    assert name("A") == ["C"] and name("B", "X") == ["C", "X"] and name("A", "C") == ["A", "C"] and name("A", "D") == ["C", "D"]
+    assert drift.newest_names([("A", 1)], [(2, "A", "B"), (3, "B", "A")]) == ["B"]
+
+
+def test_unified_like_brute_force(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    path = "/root/testdata/sf0.001/fallos_json.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    files = spark.read.parquet(path)
+    renames = {}
+    for r in drift.changes(files).where("change_kind = 'renamed'").collect():
+        renames.setdefault(r.organo, []).append((r.lote, r.field_path, r.new_path))
+    want = []
+    for file_id, organo, lote, payload in duckdb.sql(f"SELECT file_id, any_value(organo), any_value(lote), any_value(payload) FROM '{path}' WHERE json_valid(payload) GROUP BY file_id").fetchall():
+        root = json.loads(payload)
+        for pos, ruling in enumerate(root if isinstance(root, list) else [root]):
+            flat = {}
+            for key, value in ruling.items():
+                for k, v in value.items() if key in ("METADATOS", "CONTENIDO") else [(None, value)]:
+                    if k == "ARTICULOS_CITADOS":
+                        for c in v["citations"]:
+                            for m, w in (c or {}).items():
+                                flat.setdefault(f"{key}.{k}.citations.{m}", []).append(w)
+                        if None in v["citations"] or not v["citations"]:
+                            flat[f"{key}.{k}.citations"] = [c for c in v["citations"] if not c]
+                    else:
+                        flat[key if k is None else f"{key}.{k}"] = v
+            for _, old, new in sorted(renames.get(organo, [])):
+                if old in flat and new not in flat:
+                    flat[new] = flat.pop(old)
+            want += [(file_id, pos, organo, lote, f, json.dumps(v, ensure_ascii=False)) for f, v in flat.items()]
+    got = drift.unified(files).select("file_id", "obj_pos", "organo", "lote", "field_path", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_deep_values_are_profiled_and_unified(spark):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    data = [(1, "1.json", "A", 1, AT, f'{{"CONTENIDO": {{"X": {deep}}}, "HONDO": {deep}}}')]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert drift.changes(df).count() == 0
+    assert {(r.field_path, len(r.value)) for r in drift.unified(df).collect()} == {("CONTENIDO.X", 40_001), ("HONDO", 40_001)}
+
+
+def test_types():
+    for value, want in ((None, ""), ([], ""), ([[]], "array<null>"), ([None], "array<null>"), ([[1], 2], "array<array<number>>"), ([{"a": 1}], "array<object>"), (True, "boolean"), ([""], "array<null>"), ({}, "")):
+        assert drift.type_of(value) == want
+
+
 def test_matching_is_of_greatest_weight():
     assert sorted(drift.best_matching([[0.9, 0.8], [0.8, 0.1]], 0.3)) == [(0, 1), (1, 0)]
     assert drift.best_matching([[0.2]], 0.3) == []
