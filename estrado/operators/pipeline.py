@@ -13,14 +13,14 @@ from estrado.operators import answers, search
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a pipeline; results asked for are capped at ``max_results``."""
+    """Settings of a pipeline; results asked for are capped at ``max_results``; an index of another ``tokenizer`` than stated is refused."""
 
     strategy: str = "enriched"
     top_n: int = 8
     max_results: int = answers.MAX_RESULTS
     k_dense: int = search.K_DENSE
     k_lex: int = search.K_LEX
-    tokenizer: str = "raw"
+    tokenizer: str | None = None
     rerank: bool = True
     snippet: int = answers.SNIPPET
     history: int = answers.HISTORY
@@ -36,6 +36,8 @@ def hits(questions: DataFrame, paragraphs: DataFrame, index: dict[str, DataFrame
     ``questions`` has (qid, question, embedding); ``paragraphs`` has (key, expediente, section, text, path, idea_central,
     materia_preliminar, articulos_citados). The enriched strategy raises fused scores by metadata; reranking replaces them.
     """
+    if config.tokenizer not in (None, found := search.tokenizer_of(index)):
+        raise ValueError(f"the index was built with the tokenizer {found!r}, not {config.tokenizer!r}")
     once = questions.groupBy("question").agg(F.min("qid").alias("qid"), F.min_by("embedding", "qid").alias("embedding"))
     top_n = min(config.top_n, config.max_results)
     meta = paragraphs.withColumnRenamed("text", "paragraph")

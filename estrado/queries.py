@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from estrado.functions import citations as C
 from estrado.functions import sets as S
 from estrado.functions import text as T
-from estrado.operators import answers, drift, evaluate, nested, search
+from estrado.operators import answers, documents, drift, evaluate, nested, search
+from estrado.plans.repeats import distinct_rows
 from estrado.sources import files
 from estrado.sources.fallos import read_table
 
@@ -275,7 +276,8 @@ _PARAS = "(SELECT DISTINCT para_uid, expediente, section, paragraph_id, text, pa
 
 def _paragraphs(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """The paragraphs, exact repeats once."""
-    return read_table(spark, d, "paragraphs").select("para_uid", "expediente", "section", "paragraph_id", "text", "path", "idea_central", "materia_preliminar", *more).distinct()
+    rows = read_table(spark, d, "paragraphs").select("para_uid", "expediente", "section", "paragraph_id", "text", "path", "idea_central", "materia_preliminar", *more)
+    return distinct_rows(rows, "para_uid")
 
 
 @query(f"""
@@ -1119,7 +1121,8 @@ def json_props_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id_fallo, row_number() OVER (ORDER BY try_cast(id_fallo AS BIGINT) NULLS FIRST, id_fallo)::INT AS place FROM (SELECT DISTINCT id_fallo FROM votos WHERE id_fallo IS NOT NULL)")
 def numeric_id_sort(spark: SparkSession, d: str) -> DataFrame:
     ids = read_table(spark, d, "votos").where("id_fallo is not null").select("id_fallo").distinct()
-    return ids.select("id_fallo", F.row_number().over(Window.orderBy(F.expr("try_cast(id_fallo as bigint)").asc_nulls_first(), "id_fallo")).alias("place"))
+    placed = documents.ordinals(ids.withColumn("n", F.expr("try_cast(id_fallo as bigint)")), "n", "id_fallo", name="place")
+    return placed.select("id_fallo", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT path, organo FROM (SELECT DISTINCT path, organo FROM fallos_json) ORDER BY path, organo LIMIT 5")

@@ -10,17 +10,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estrado.plans.scratch import materialize
-
-#: Most ids of files delivered again that are broadcast; beyond it every payload goes through the aggregate.
-AGAIN = 1_000_000
+from estrado.plans.repeats import REPEATED, split_repeats
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_id: str = "file_id", at: str = "recibido_at", most: int = AGAIN) -> DataFrame:
+def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_id: str = "file_id", at: str = "recibido_at", most: int = REPEATED) -> DataFrame:
     """One row per file: (file_id, payload, *keep) of the earliest delivery that has a payload.
 
     The ids delivered more than once are counted first, from the id column alone. Files that came once are passed on
@@ -29,22 +26,17 @@ def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_
     ruling. With more than ``most`` such ids all files are aggregated, with the same result.
     """
     cols = list(dict.fromkeys([payload, *keep]))
-    again = files.groupBy(F.col(file_id).alias("_again")).agg(F.count("*").alias("n")).where("n > 1 or _again is null").select("_again")
-    again = materialize(again)
-    count = again.count()
-    some = files.where(F.col(payload).isNotNull() & (F.length(payload) > 0))
-    key = F.when(F.col(file_id).isNull(), F.xxhash64(payload))
-    values = F.struct(*[F.col(c).alias("payload" if c == payload else c) for c in cols])
-    some = some.select(F.col(file_id).alias("file_id"), key.alias("_k"), F.struct(F.col(at).alias("a"), F.xxhash64(payload).alias("h")).alias("_o"), values.alias("_v"))
+    once, more = split_repeats(files, file_id, most)
     out = ["file_id", *[F.col(f"_v.{'payload' if c == payload else c}") for c in cols]]
-    if not count:
-        return some.select(*out)
-    if count > most:
-        return _earliest(some).select(*out)
-    same = F.col("file_id").eqNullSafe(F.col("_again"))
-    once = some.join(F.broadcast(again), same, "left_anti")  # at most ``most`` ids
-    more = some.join(F.broadcast(again), same, "left_semi")
-    return once.select(*out).unionByName(_earliest(more).select(*out))
+
+    def ready(rows: DataFrame) -> DataFrame:
+        some = rows.where(F.col(payload).isNotNull() & (F.length(payload) > 0))
+        key = F.when(F.col(file_id).isNull(), F.xxhash64(payload))
+        values = F.struct(*[F.col(c).alias("payload" if c == payload else c) for c in cols])
+        return some.select(F.col(file_id).alias("file_id"), key.alias("_k"), F.struct(F.col(at).alias("a"), F.xxhash64(payload).alias("h")).alias("_o"), values.alias("_v"))
+
+    parts = [f(ready(rows)).select(*out) for f, rows in ((lambda r: r, once), (_earliest, more)) if rows is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _earliest(rows: DataFrame) -> DataFrame:

@@ -149,5 +149,5 @@ def test_first_delivery_by_either_way(spark):
     data = [(1, "a", AT), (1, "a", late), (2, "b", AT), (3, None, AT), (3, "c", late), (4, "", AT), (None, "x", AT), (None, "x", AT), (None, "y", None), (5, "d", None), (5, "e", AT), (6, "f", AT), (6, "f", AT)]
     df = spark.createDataFrame(data, "file_id bigint, payload string, recibido_at timestamp")
     want = sorted([("1", "a"), ("2", "b"), ("3", "c"), ("None", "x"), ("None", "y"), ("5", "d"), ("6", "f")])
-    for most in (fallos.AGAIN, 1):
+    for most in (fallos.REPEATED, 1):
         assert sorted((str(r[0]), r[1]) for r in fallos.first_delivery(df, most=most).collect()) == want

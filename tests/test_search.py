@@ -103,3 +103,54 @@ def test_summaries_conversations_requests(spark):
     assert answers.history(turns, "c", "t", "q", "a").first().context.startswith("Pregunta 1: q3\nRespuesta 1: " + "r" * 100 + "...")
     asks = spark.createDataFrame([("  ab ", 5), ("abc", 21), ("abc", 1), (None, 1), ("x" * 501, 1)], "question string, top_n int")
     assert [r.reason for r in answers.valid_requests(asks).collect()] == ["too short", "top_n", None, "too short", "too long"]
+
+
+def test_top_by_words_and_by_postings(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(n, " ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 30)))) for n in range(80)]
+    built = search.lexical_index(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    asked = search.question_terms(spark.createDataFrame([(q, " ".join(r.choice("abcxyz") for _ in range(3))) for q in range(9)], "qid long, question string"))
+    want = sorted(map(tuple, search.best(search.bm25(built, asked), 6).select("qid", "key", "score", "rank").collect()))
+    for block in (4096, 2):
+        assert sorted(map(tuple, search.bm25_top(built, asked, 6, block).select("qid", "key", "score", "rank").collect())) == want
+    search.save_indexes(built, str(tmp_path))
+    loaded = search.load_indexes(spark, str(tmp_path), ("postings", "lengths", "corpus", "terms"))
+    top = lambda i: sorted(map(tuple, search.lexical_top(i, asked, 6).select("qid", "key", "score", "rank").collect()))
+    assert top(loaded) == top(built) and search.tokenizer_of(loaded) == "raw"
+
+
+def test_questions_are_cut_as_the_index_was(spark, monkeypatch):
+    monkeypatch.setattr(search, "LARGE", 3)
+    rows = spark.createDataFrame([(n, "Demanda ordinaria") for n in range(5)], "key long, text string")
+    index = search.build_indexes(rows, "key", "text")
+    assert search.tokenizer_of(index) == "normalized"
+    asked = spark.createDataFrame([(1, "y DEMANDA")], "qid long, question string").withColumn("embedding", search.embed(F.col("question"), query=True))
+    assert search.hybrid(asked, index["points"], index).where("in_lexical").count() == 5
+    assert search.question_terms(asked, tokenizer="normalized").count() == 1
+
+
+def test_nearest_by_distance_like_all_pairs(spark):
+    from estrado.functions import vectors as V
+
+    r = random.Random(6)
+    points = spark.createDataFrame([(n, [r.gauss(0, 1) for _ in range(4)]) for n in range(50)], "key long, embedding array<double>")
+    asked = points.where("key % 9 = 0").withColumnRenamed("key", "qid")
+    want = search.best(search.dense(asked, points, measure=V.euclidean), 5, ascending=True)
+    cols = ["qid", "key", "score", "rank"]
+    assert sorted(map(tuple, search.nearest(asked, points.repartition(7)).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_upsert_replaces_and_adds(spark, tmp_path):
+    path = f"{tmp_path}/points"
+    frame = lambda rows: spark.createDataFrame(rows, "key long, v string")
+    search.upsert(spark, path, frame([(1, "a"), (2, "b"), (None, "x")]))
+    search.upsert(spark, path, frame([(2, "c"), (3, "d"), (3, "d")]))
+    search.upsert(spark, path, frame([]))
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_question_prefix(spark):
+    seen = spark.createDataFrame([(" hola ",), (None,)], "t string")
+    same = lambda c: c
+    assert [r[0] for r in seen.select(search.embed(F.col("t"), same, query=True)).collect()] == [search.QUERY_PREFIX + " hola ", None]
+    assert [r[0] for r in seen.select(search.embed(F.col("t"), same)).collect()] == ["hola", None]
