@@ -38,13 +38,47 @@ def other_citation_format(prompt: str) -> str:
     return re.sub(r"(?i)\b(?:arts?\.|artículos?\b)", lambda m: forms[m[0].lower()], prompt)
 
 
-def questions(prompt: str) -> str:
-    """Three questions about the text's first sentence, a line each."""
-    about = first_sentences(prompt, 1).rstrip(".?!")
-    return "\n".join(f"¿{start} {about[:80]}?" for start in ("Qué se resolvió sobre", "Con qué fundamento", "Qué normas rigen"))
+#: Words of rulings and others of the same meaning; fixed values.
+SYNONYMS = {"señala": "indica", "sostiene": "afirma", "manifiesta": "expresa", "resuelve": "dispone", "rechaza": "desestima", "presenta": "interpone", "solicita": "pide", "considera": "entiende", "además": "asimismo", "porque": "ya que", "luego": "después", "también": "igualmente"}
+#: Outcomes and their opposites; fixed values.
+OPPOSITES = {"confirmar": "revocar", "confirma": "revoca", "hacer lugar": "rechazar", "procedente": "improcedente", "admisible": "inadmisible", "favorable": "desfavorable", "con costas": "sin costas"}
 
 
-_GENERATORS: dict[str, Generator] = {"echo": lambda p: p, "summary": first_sentences, "citation_format": other_citation_format, "questions": questions}
+def _swapped(text: str, pairs: dict[str, str]) -> str:
+    both = pairs | {b: a for a, b in pairs.items()}
+    words = "|".join(sorted(map(re.escape, both), key=len, reverse=True))
+    keep = lambda new, old: new[:1].upper() + new[1:] if old[:1].isupper() else new
+    return re.sub(rf"(?i)\b(?:{words})\b", lambda m: keep(both[m[0].lower()], m[0]), text)
+
+
+def other_wording(prompt: str) -> str:
+    """Some words exchanged for others of their meaning; the content stays."""
+    return _swapped(prompt, SYNONYMS)
+
+
+def other_content(prompt: str) -> str:
+    """Outcomes turned into their opposites; citations stay."""
+    return _swapped(prompt, OPPOSITES)
+
+
+#: How questions of each specificity begin, and how many characters of the text they hold.
+SPECIFICITIES = {"generic": 0, "specific": 80, "ultra_specific": 240}
+
+
+def questions(prompt: str, specificity: str = "specific") -> str:
+    """Three questions about a text, a line each: ``generic`` about its kind, ``specific`` about its first sentence,
+    ``ultra_specific`` about its first sentences word by word."""
+    size = SPECIFICITIES[specificity]
+    about = first_sentences(prompt, 1 if size <= 80 else 40).rstrip(".?!")[:size] if size else "casos como este"
+    return "\n".join(f"¿{start} {about}?" for start in ("Qué se resolvió sobre", "Con qué fundamento", "Qué normas rigen"))
+
+
+_GENERATORS: dict[str, Generator] = {
+    "echo": lambda p: p, "summary": first_sentences, "citation_format": other_citation_format, "wording": other_wording, "content": other_content, "questions": questions,
+    **{f"questions_{s}": (lambda p, s=s: questions(p, s)) for s in SPECIFICITIES},
+}
+#: Kinds of rewriting and the generator of each.
+REWRITES = {"formato_citas": "citation_format", "redaccion_superficial": "wording", "cambio_contenido": "content"}
 
 
 def register(name: str, generator: Generator) -> None:
@@ -90,3 +124,17 @@ def parse_questions(reply: Column) -> Column:
     parsed = F.from_json(reply, "struct<questions:array<string>>")["questions"]
     lines = F.filter(F.split(reply, "\n"), lambda x: F.endswith(F.trim(x), F.lit("?")))
     return F.coalesce(parsed, lines, F.array().cast("array<string>"))
+
+
+def structured_citations(quotation: Column, sources: list[tuple[str, str]]) -> Column:
+    """struct(main_source, cited_articles) of a quotation: the stand-in for a model that maps to a closed list of sources.
+
+    ``sources`` holds (name as it may stand in the text, listed name). The longest name in the quotation decides, of equal
+    ones the greater; an orphan without any has a null source.
+    """
+    text = F.lower(quotation)
+    listed = F.array(*[F.struct(F.lit(len(name)).alias("size"), F.lit(name.lower()).alias("name"), F.lit(full).alias("full")) for name, full in sources]) if sources else F.array().cast("array<struct<size:int,name:string,full:string>>")
+    best = F.array_max(F.filter(listed, lambda s: F.contains(text, s["name"])))
+    numbers = F.regexp_extract(text, r"\bart[a-zí]*\.?\s*((?:\d+\s*[°º]?\s*(?:,|;|y|e|/|-)?\s*)+)", 1)
+    articles = F.array_sort(F.array_distinct(F.regexp_extract_all(numbers, F.lit(r"(\d{1,9})"), F.lit(1)).cast("array<int>")))
+    return F.struct(best["full"].alias("main_source"), articles.alias("cited_articles"))

@@ -11,8 +11,6 @@ from estrado.functions import text as T
 SNIPPET, MAX_RESULTS, HISTORY = 300, 8, 5
 
 
-
-
 def group_hits(hits: DataFrame) -> DataFrame:
     """(qid, expte, first_rank, idea_central, materia_preliminar, articulos_citados, hits): one row a ruling.
 
@@ -96,6 +94,11 @@ def summaries(answers: DataFrame, key: str, markdown: str) -> DataFrame:
     return rows.groupBy(key, F.col("x.e").alias("expte")).agg(T.strip(F.max_by("x.s", "p")).alias("summary"))
 
 
+def with_summaries(grouped: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``grouped`` (qid, expte, ...) with ``llm_summary`` of ``summaries`` (qid, expte, summary), empty where there is none."""
+    return grouped.join(summaries.withColumnRenamed("summary", "llm_summary"), ["qid", "expte"], "left").fillna("", ["llm_summary"])
+
+
 def valid_requests(requests: DataFrame, question: str = "question", top_n: str = "top_n") -> DataFrame:
     """``requests`` with ``reason``, null for a valid one: 3 to 500 characters asked, 1 to 20 results."""
     size = F.length(T.strip(F.col(question)))

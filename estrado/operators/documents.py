@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estrado.functions import generate as G
 from estrado.functions import text as T
 from estrado.functions.citations import mentioned
 from estrado.plans.scratch import materialize
+from estrado.sources import files
 
 OPENING = "INICIO"
 #: Least length of a text to be rewritten and of a rewritten one to be taken.
@@ -101,3 +104,90 @@ def rewritten(paragraphs: DataFrame, kind: str, rewrite: Callable[[Column], Colu
     new = F.when(F.coalesce(gate, F.lit(False)), call(F.col(text)))
     ok = F.coalesce(F.length(T.strip(F.col("_new"))) > LEAST_NEW, F.lit(False))
     return paragraphs.withColumn("_new", new).withColumn("rewritten", F.when(ok, F.col("_new")).otherwise(F.col(text))).withColumn("accepted", ok).drop("_new")
+
+
+#: Most names of a closed list of sources.
+LISTED = 2_000
+
+
+def structured_citations(quotations: DataFrame, key: str, quotation: str, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, main_source, cited_articles, n_verbatim), orphans (key, quotation)) of quotations.
+
+    ``sources`` (canonical_name, short_name) is the closed list that sources are mapped to, a parameter of bounded size;
+    articles are sorted and distinct; quotations without a listed source are orphans. Null keys and quotations are left out.
+    """
+    listed = sources.select("canonical_name", "short_name").where("canonical_name is not null").distinct().limit(LISTED + 1).collect()
+    if len(listed) > LISTED:
+        raise ValueError(f"a closed list has at most {LISTED} sources")
+    names = [(n, r["canonical_name"]) for r in listed for n in (r["canonical_name"], r["short_name"]) if n]
+    rows = quotations.where(F.col(key).isNotNull() & F.col(quotation).isNotNull()).select(key, quotation, G.structured_citations(F.col(quotation), names).alias("_c"))
+    known = rows.where("_c.main_source is not null").groupBy(key, F.col("_c.main_source").alias("main_source"))
+    articles = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_c.cited_articles"))))
+    return known.agg(articles.alias("cited_articles"), F.count("*").alias("n_verbatim")), rows.where("_c.main_source is null").select(key, quotation)
+
+
+def question_sets(texts: DataFrame, key: str, text: str = "text", specificities: tuple[str, ...] = tuple(G.SPECIFICITIES)) -> DataFrame:
+    """(key, question_type, question_no, question): three questions of each specificity about every text; null and blank texts have none."""
+    rows = texts.where(F.col(text).isNotNull() & (T.strip(F.col(text)) != ""))
+    parts = [rows.select(key, F.lit(kind).alias("question_type"), F.posexplode(G.parse_questions(G.generate(F.col(text), f"questions_{kind}"))).alias("p", "question")) for kind in specificities]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(key, "question_type", (F.col("p") + 1).alias("question_no"), "question")
+
+
+def create_dataset(spark: SparkSession, source: str, target: str, kind: str, only: tuple[str, ...] = (), resume: bool = True) -> dict[str, int]:
+    """Writes rewritten copies of the rulings of a folder and tells what became of them.
+
+    ``kind`` is one of ``REWRITES``. Each readable file gives one row (path, ruling) of JSON in ``target``, in folders by
+    month; paragraphs are rewritten as in ``rewritten``. With ``resume``, files already there are skipped, else replaced.
+    The counts are total_files, processed, errors (no JSON object or list of them) and skipped.
+    """
+    if kind not in G.REWRITES:
+        raise ValueError(f"no kind {kind!r}; there are {', '.join(G.REWRITES)}")
+    all_files = files.raw_files(spark, source).select("path", "text")
+    total = all_files.count()
+    done = None
+    if resume:
+        try:
+            done = materialize(spark.read.json(target).select("path"))
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    todo = files.missing(all_files, done, "path") if done is not None else all_files
+    new = materialize(todo.select("path", files.month(F.col("path")).alias("mes"), _rewritten_json(F.col("text"), kind, only).alias("ruling")))
+    left, bad = new.count(), new.where("ruling is null").count()
+    new.where("ruling is not null").write.mode("append" if resume else "overwrite").partitionBy("mes").json(target)
+    return {"total_files": total, "processed": left - bad, "errors": bad, "skipped": total - left}
+
+
+def _rewritten_json(text: Column, kind: str, only: tuple[str, ...]) -> Column:
+    call = G.generator(G.REWRITES[kind])
+
+    def paragraph(section: str, place: int, old: object) -> object:
+        if not isinstance(old, str) or len(old.strip()) <= LEAST or only and section not in only or kind == "cambio_contenido" and place % 2:
+            return old
+        new = G.answer(call, old)
+        return new if len(new.strip()) > LEAST_NEW else old
+
+    def one(payload: str | None) -> str | None:
+        try:
+            root = json.loads(payload)
+        except (ValueError, TypeError, RecursionError):
+            return None
+        rulings = root if isinstance(root, list) else [root]
+        if not rulings or not all(isinstance(r, dict) for r in rulings):
+            return None
+        for ruling in rulings:
+            body = ruling.get("CONTENIDO")
+            for section, value in body.items() if isinstance(body, dict) else ():
+                if isinstance(value, list):
+                    body[section] = [paragraph(section, k, v) for k, v in enumerate(value)]
+        return json.dumps(root, ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(one)
+
+    return run(text)

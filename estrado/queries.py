@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estrado.functions import chunks as K
 from estrado.functions import citations as C
 from estrado.functions import sets as S
 from estrado.functions import text as T
 from estrado.operators import answers, documents, drift, evaluate, nested, search
 from estrado.plans.repeats import distinct_rows
+from estrado.plans.scratch import materialize
 from estrado.sources import files
 from estrado.sources.fallos import read_table
 
@@ -308,6 +310,11 @@ def chunk_fixed_window(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", F.posexplode(T.windows(F.col("text"), 1024, 128)).alias("pos", "chunk"))
 
 
+@query()
+def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.posexplode(K.recursive_chunks(F.col("text"))).alias("pos", "chunk"))
+
+
 @query(r"""
 SELECT doc_id, text AS cleaned, text <> raw AS modified FROM (SELECT doc_id, raw, """ + "".join(["regexp_replace("] * len(T.HEADINGS)) + "raw" + "".join(f", '(?m){p}', '', 'g')" for p in T.HEADINGS) + r""" AS text
 FROM (SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN '**IDEA CENTRAL DEL FALLO**' || chr(10) || chr(10) WHEN 1 THEN '  **Decisión Judicial Principal:**' WHEN 2 THEN '### IDEA CENTRAL:' || chr(10) || chr(10) ELSE '' END) || text AS raw FROM documents WHERE text IS NOT NULL))
@@ -382,6 +389,16 @@ def chunks_per_source(spark: SparkSession, d: str) -> DataFrame:
     return _paragraphs(spark, d).groupBy("expediente").agg(F.count("*").alias("chunks"), F.countDistinct("section").alias("sections"))
 
 
+@query(f"SELECT section, count(*) AS chunks FROM {_PARAS} GROUP BY section")
+def chunks_per_section(spark: SparkSession, d: str) -> DataFrame:
+    return _paragraphs(spark, d).groupBy("section").agg(F.count("*").alias("chunks"))
+
+
+@query(f"SELECT count(DISTINCT expediente) AS rulings, count(*) AS chunks, count(DISTINCT section) AS sections FROM {_PARAS}")
+def store_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _paragraphs(spark, d).agg(F.countDistinct("expediente").alias("rulings"), F.count("*").alias("chunks"), F.countDistinct("section").alias("sections"))
+
+
 @query("SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT path) AS files FROM fallos_json GROUP BY 1")
 def folder_counts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "fallos_json").groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.countDistinct("path").alias("files"))
@@ -452,6 +469,39 @@ def source_top10(spark: SparkSession, d: str) -> DataFrame:
     return _citations(spark, d).where("main_source is not null").groupBy("main_source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "main_source").limit(10)
 
 
+@query(f"SELECT count(DISTINCT main_source) AS sources, count(*) AS citations FROM {_CITED} WHERE trim(main_source) <> ''")
+def source_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _citations(spark, d).where("trim(main_source) <> ''").agg(F.countDistinct("main_source").alias("sources"), F.count("*").alias("citations"))
+
+
+_STRUCTURED = r"""
+q AS (SELECT id_fallo, unnest(verbatim_citations) AS v FROM subsection_citations WHERE id_fallo IS NOT NULL),
+n AS (SELECT lower(canonical_name) AS name, canonical_name AS listed FROM fuentes_ref UNION SELECT lower(short_name), canonical_name FROM fuentes_ref WHERE short_name <> ''),
+d AS (SELECT DISTINCT v FROM q WHERE v IS NOT NULL),
+m AS (SELECT v, max({'size': length(name), 'name': name, 'listed': listed})['listed'] AS main_source FROM d JOIN n ON contains(lower(v), name) GROUP BY v),
+a AS (SELECT v, list_distinct(regexp_extract_all(regexp_extract(lower(v), '\bart[a-zí]*\.?\s*((?:\d+\s*[°º]?\s*(?:,|;|y|e|/|-)?\s*)+)', 1), '\d{1,9}')::INT[]) AS articles FROM d),
+r AS (SELECT id_fallo, v, main_source, articles FROM q JOIN a USING (v) LEFT JOIN m USING (v))
+"""
+
+
+@query(rf"""
+WITH {_STRUCTURED}
+SELECT id_fallo, main_source, array_to_string(list_sort(list_distinct(flatten(list(articles)))), ',') AS articles, count(*) AS n_verbatim FROM r WHERE main_source IS NOT NULL GROUP BY id_fallo, main_source
+""")
+def citation_structuring(spark: SparkSession, d: str) -> DataFrame:
+    known, _ = documents.structured_citations(_quotations(spark, d), "id_fallo", "v", read_table(spark, d, "fuentes_ref"))
+    return known.select("id_fallo", "main_source", F.array_join(F.col("cited_articles").cast("array<string>"), ",").alias("articles"), "n_verbatim")
+
+
+@query(rf"WITH {_STRUCTURED} SELECT id_fallo, v FROM r WHERE main_source IS NULL")
+def citation_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return documents.structured_citations(_quotations(spark, d), "id_fallo", "v", read_table(spark, d, "fuentes_ref"))[1]
+
+
+def _quotations(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "subsection_citations").select("id_fallo", F.explode("verbatim_citations").alias("v"))
+
+
 @query(f"""
 WITH e AS (SELECT id_fallo, main_source AS s, unnest(CASE WHEN len(coalesce(cited_articles, [])) = 0 THEN [NULL::INT] ELSE cited_articles END) AS a, extra AS e FROM {_CITED} WHERE main_source IS NOT NULL),
 m AS (SELECT id_fallo, CASE WHEN s = 'Otro' AND a IN (28, 29, 114) THEN 'Ley 7046' WHEN s = 'Otro' AND a = 33 THEN 'Ley 10.704' ELSE s END AS t, s, a, e FROM e),
@@ -810,6 +860,69 @@ def summary_regex(spark: SparkSession, d: str) -> DataFrame:
     return answers.summaries(read_table(spark, d, "documents").select("doc_id", markdown.alias("markdown")), "doc_id", "markdown")
 
 
+# A model's answer that sums up the first four hits; rulings are called by the digits of their file.
+_DIGITS = r"regexp_replace(coalesce(expediente, ''), '\D', '', 'g')"
+
+
+@query(rf"""
+WITH {_HITS},
+g AS (SELECT qid, {_DIGITS} AS expte, min(rank)::INT AS first_rank, count(*) AS n_hits FROM hits GROUP BY 1, 2),
+s AS (SELECT qid, {_DIGITS} AS expte, arg_max(section, rank) AS summary FROM hits WHERE rank <= 4 AND section <> '' AND {_DIGITS} <> '' GROUP BY 1, 2)
+SELECT qid, expte, first_rank, n_hits, coalesce(summary, '') AS llm_summary FROM g LEFT JOIN s USING (qid, expte)
+""")
+def grouped_with_summaries(spark: SparkSession, d: str) -> DataFrame:
+    hits = materialize(_hits(spark, d).withColumn("expediente", F.regexp_replace(F.coalesce("expediente", F.lit("")), r"\D", "")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "expediente", F.lit("] «"), "section", F.lit("»")).alias("l")))), lambda x: x["l"])
+    markdown = hits.where("rank <= 4").groupBy("qid").agg(F.array_join(lines, "\n").alias("markdown"))
+    grouped = answers.group_hits(hits).select("qid", "expte", "first_rank", F.size("hits").cast("long").alias("n_hits"))
+    return answers.with_summaries(grouped, answers.summaries(markdown, "qid", "markdown"))
+
+
+# Dense and lexical candidates among the paragraphs, all of them raised by their metadata before the cut.
+_ENRICHED = f"""
+{_bm25_sql(_PARA_DOCS)},
+sim AS (SELECT q.vec_id AS qid, p.vec_id AS key, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings p, embeddings q WHERE q.vec_id IN (SELECT qid FROM {_QUESTIONS}) AND p.vec_id IN (SELECT key FROM docs)),
+den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM sim) WHERE rank <= 30),
+meta AS (SELECT para_uid AS key, any_value(text) AS text, any_value(idea_central) AS idea_central, any_value(materia_preliminar) AS materia_preliminar, any_value(articulos_citados) AS articulos_citados FROM paragraphs GROUP BY 1),
+f AS (SELECT qid, key, coalesce(d.score, x.score) + coalesce(x.score * 0.5, 0) AS score FROM den d FULL JOIN lex x USING (qid, key)),
+h AS (SELECT f.*, meta.* EXCLUDE (key), question, lower(question) AS q FROM f JOIN meta USING (key) JOIN {_QUESTIONS} USING (qid)),
+c AS (SELECT qid, key, count(*) AS n FROM (SELECT qid, key, q, c, unnest(c.cited_articles) AS a FROM (SELECT qid, key, q, unnest(articulos_citados) AS c FROM h))
+      WHERE contains(q, a::VARCHAR) OR contains(q, lower(coalesce(c.main_source, ''))) GROUP BY qid, key),
+boosted AS (SELECT qid, key, round(score + coalesce(c.n, 0) * 0.3 + (CASE WHEN materia_preliminar <> '' AND contains(q, lower(materia_preliminar)) THEN 0.1 ELSE 0 END)
+  + (CASE WHEN idea_central <> '' AND len(list_filter({_tokens_sql('q')}, lambda w: contains(lower(idea_central), w))) > 0 THEN 0.2 ELSE 0 END), 6) AS score, text, question FROM h LEFT JOIN c USING (qid, key))
+"""
+
+
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    rows = _paragraphs(spark, d, "articulos_citados").withColumnRenamed("para_uid", "key")
+    texts = rows.select("key", "text").where("text is not null")
+    points = _points(spark, d).join(texts.select("key"), "key", "left_semi")
+    index = search.lexical_index(texts, "key", "text")
+    fused = search.fuse(search.dense_top(_asked(spark, d).where("embedding is not null"), points), search.lexical_top(index, search.question_terms(_questions(spark, d))))
+    held = fused.join(rows, "key").join(_questions(spark, d), "qid")
+    gain = search.boost(F.col("question"), F.col("articulos_citados"), F.col("materia_preliminar"), F.col("idea_central"))
+    return held.withColumn("score", F.round(F.col("score") + gain, 6))
+
+
+@query(f"WITH {_ENRICHED} SELECT qid, key, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM boosted) WHERE rank <= 8")
+def hybrid_enriched(spark: SparkSession, d: str) -> DataFrame:
+    return search.best(_enriched(spark, d).select("qid", "key", "score"), 8)
+
+
+@query(f"WITH {_ENRICHED}, re AS (SELECT qid, key, {_OVERLAP_SQL} AS score FROM boosted) SELECT qid, key, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM re) WHERE rank <= 8")
+def hybrid_enriched_reranked(spark: SparkSession, d: str) -> DataFrame:
+    return search.best(_enriched(spark, d).select("qid", "key", search.overlap_rerank(F.col("question"), F.col("text")).alias("score")), 8)
+
+
+@query(r"""
+SELECT doc_id, kind AS question_type, (n + 1)::INT AS question_no, '¿' || ['Qué se resolvió sobre', 'Con qué fundamento', 'Qué normas rigen'][n + 1] || ' casos como este?' AS question
+FROM documents, (VALUES ('generic')) k(kind), range(3) r(n) WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''
+""")
+def question_generation(spark: SparkSession, d: str) -> DataFrame:
+    return documents.question_sets(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", specificities=("generic",))
+
+
 # ---- requests and conversations -----------------------------------------------------------------------------------
 
 _REQUESTS = f"(SELECT item_id AS id, text AS question, item_id % 25 AS top_n FROM eval_items UNION ALL SELECT -doc_id, text, doc_id % 25 FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULING = "struct<METADATOS:struct<ID_FALLO:string,MES:string,ARTICULOS_CITADOS:struct<citations:array<struct<main_source:string,cited_articles:array<int>,extra:array<string>>>>>,MATERIA_PRELIMINAR:string,IDEA_CENTRAL:string,CONTENIDO:map<string,variant>>"
+CITATIONS = "array<struct<main_source:string,cited_articles:array<int>,extra:array<string>>>"
 
 
 def raw_files(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
@@ -59,6 +59,28 @@ def paragraphs(rulings: DataFrame, strip: bool = True, least: int = 10) -> tuple
     return (kept.withColumn("text", stripped) if strip else kept), one.where(empty).select("path", "obj_pos")
 
 
+def enriched_paragraphs(rulings: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, rejects) as in ``paragraphs``, unstripped, each with its ruling's citations and metadata.
+
+    articulos_citados is empty where a ruling has none, or none of that shape (an ``extra`` that is a lone text counts as a
+    list of it); metadatos is the object as delivered.
+    """
+    rows, rejects = paragraphs(rulings, strip=False, least=least)
+    v = lambda path, kind: F.try_variant_get("ruling", path, kind)
+    text = lambda c, name: F.try_variant_get(c, f"$.{name}", "string")
+    many = lambda c, name, kind: F.try_variant_get(c, f"$.{name}", f"array<{kind}>")
+    lone = lambda c: F.when(text(c, "extra").isNotNull() & many(c, "extra", "string").isNull(), F.array(text(c, "extra")))
+    one = lambda c: F.struct(text(c, "main_source").alias("main_source"), many(c, "cited_articles", "int").alias("cited_articles"), F.coalesce(many(c, "extra", "string"), lone(c)).alias("extra"))
+    cited = F.transform(v("$.METADATOS.ARTICULOS_CITADOS.citations", "array<variant>"), one).cast(CITATIONS)
+    meta = rulings.select("path", "obj_pos", F.coalesce(cited, F.array().cast(CITATIONS)).alias("articulos_citados"), v("$.METADATOS", "variant").alias("metadatos"))
+    return rows.join(meta, ["path", "obj_pos"]), rejects
+
+
+def run_id(at: Column | None = None) -> Column:
+    """The name of a run: its time as yyyyMMdd_HHmmss."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+
+
 def write_json(rows: DataFrame, folder: str, *by: str) -> None:
     rows.write.mode("overwrite").partitionBy(*by).json(folder)
 
@@ -67,9 +89,11 @@ def write_text(rows: DataFrame, folder: str, text: str, *by: str) -> None:
     rows.select(text, *by).write.mode("overwrite").partitionBy(*by).text(folder)
 
 
-def write_results(metrics: DataFrame, folder: str, run: str) -> None:
-    """Results of a run, in folders by run and test."""
+def write_results(metrics: DataFrame, folder: str, run: str | None = None) -> str:
+    """Results of a run, in folders by run and test; without a name the run is called by its time. Returns the name."""
+    run = run or metrics.sparkSession.range(1).select(run_id()).first()[0]
     metrics.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", "test").json(folder)
+    return run
 
 
 def read_results(spark: SparkSession, folder: str, run: str) -> DataFrame:

@@ -29,6 +29,26 @@ def test_rulings_and_paragraphs(spark, folder):
     assert [(r.path, r.obj_pos) for r in no_id.collect()] == [("2024/02/2.json", 1)]
 
 
+def test_enriched_paragraphs(spark, tmp_path):
+    (tmp_path / "in" / "02").mkdir(parents=True)
+    cited = [{"main_source": "L", "cited_articles": [1, 2], "extra": "x"}, {"main_source": "M", "extra": ["y"]}]
+    rulings = [{"METADATOS": {"ID_FALLO": "9", "MES": "02", "ARTICULOS_CITADOS": {"citations": cited}}, "CONTENIDO": {"A": ["  un párrafo largo "]}}, {"METADATOS": {"ID_FALLO": "8"}, "CONTENIDO": {"A": ["otro párrafo largo"]}}]
+    (tmp_path / "in" / "02" / "1.json").write_text(json.dumps(rulings), encoding="utf-8")
+    rows, _ = files.enriched_paragraphs(files.rulings(spark, str(tmp_path / "in"))[0])
+    got = {r.expediente: r for r in rows.select("*", F.try_variant_get("metadatos", "$.MES", "string").alias("mes")).drop("metadatos").collect()}
+    assert [(c.main_source, c.cited_articles, c.extra) for c in got["9"].articulos_citados] == [("L", [1, 2], ["x"]), ("M", None, ["y"])]
+    assert got["9"].text == "  un párrafo largo " and got["9"].mes == "02" and got["8"].articulos_citados == []
+
+
+def test_run_names(spark, tmp_path):
+    from datetime import datetime
+
+    at = spark.createDataFrame([(datetime(2024, 3, 5, 7, 8, 9),)], "t timestamp")
+    assert at.select(files.run_id(at.t)).first()[0] == "20240305_070809"
+    run = files.write_results(spark.createDataFrame([("t", 1.0)], "test string, accuracy double"), str(tmp_path))
+    assert len(run) == 15 and files.read_results(spark, str(tmp_path), run).count() == 1
+
+
 def test_question_sources(spark, tmp_path):
     (tmp_path / "q.json").write_text('["¿a?", "¿b?"]')
     assert [tuple(r) for r in files.query_list(spark, str(tmp_path / "q.json")).collect()] == [(0, "¿a?"), (1, "¿b?")]

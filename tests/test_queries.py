@@ -35,7 +35,8 @@ def test_query(spark, duck, name):
     got = core.queries()[name](spark, DATA)
     sql = core.oracle_sql().get(name)
     if not sql:
-        assert got.count() >= 0
+        # No SQL: p4_* are compared with brute force in test_drift, p1_members in test_nested, chunk_recursive in test_chunks.
+        assert 0 < got.count() and got.count() == got.distinct().count()
         return
     got, want = got.toPandas(), duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
