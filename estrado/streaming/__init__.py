@@ -48,7 +48,8 @@ def elo(matches: DataFrame) -> DataFrame:
         for m in rows.itertuples():
             a, b = rating.get(m.player_a, START), rating.get(m.player_b, START)
             won = 1 / (1 + 10 ** ((b - a) / 400))
-            rating[m.player_a], rating[m.player_b] = a + GAIN * (m.result - won), b + GAIN * (won - m.result)
+            rating[m.player_b] = b + GAIN * (won - m.result)
+            rating[m.player_a] = a + GAIN * (m.result - won)  # last, as in the batch form, for one who meets themselves
         names = sorted(rating)
         state.update((names, [rating[p] for p in names]))
         yield pd.DataFrame({"league": key[0], "player": names, "rating": [rating[p] for p in names]})
