@@ -32,7 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _p5(), "p6_found": cooccur.FOUND_SQL, "p8_found": _p8(), "p10_found": _p10()}
+    return {"p5_found": _p5(), "p6_found": cooccur.FOUND_SQL, "p8_found": _p8(), "p8_spans": _p8_spans(), "p10_found": _p10(), "p10_classes": _p10_classes(), "p10_normalized": _p10_normalized()}
 
 
 def _p5() -> str:
@@ -54,15 +54,27 @@ FROM t WHERE length(text) > 1024
 """
 
 
+_MARKS = "".join([*confusables.LOOKALIKE, confusables.FULL_WIDTH[0]])
+_PLAIN = "".join([*confusables.LOOKALIKE.values(), confusables.FULL_WIDTH[1]]).replace("'", "''")
+_WORDS = rf"regexp_extract_all(lower(strip_accents(regexp_replace(translate(text, '{_MARKS}', '{_PLAIN}'), '[{confusables.INVISIBLE}]', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+
+
 def _p8() -> str:
-    marks = "".join([*confusables.LOOKALIKE, confusables.FULL_WIDTH[0]])
-    plain = "".join([*confusables.LOOKALIKE.values(), confusables.FULL_WIDTH[1]]).replace("'", "''")
-    words = rf"regexp_extract_all(lower(strip_accents(regexp_replace(translate(text, '{marks}', '{plain}'), '[{confusables.INVISIBLE}]', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
-    grams = lambda table, key: f"(SELECT {key}, unnest(list_transform(range(1, greatest(1, len(w) - 8)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL))"
+    grams = lambda table, key: f"(SELECT {key}, unnest(list_transform(range(1, greatest(1, len(w) - 8)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL))"
     return f"SELECT DISTINCT doc_id, item_id FROM {grams('documents', 'doc_id')} JOIN {grams('eval_items', 'item_id')} USING (g)"
 
 
-def _p10() -> str:
+def _p8_spans() -> str:
+    at = lambda table, key: f"(SELECT {key}, unnest(list_transform(range(0, greatest(0, len(w) - 9)), lambda i: {{'pos': i, 'g': array_to_string(w[i + 1:i + 10], ' ')}}), recursive := true) FROM (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL))"
+    return f"""
+WITH h AS (SELECT DISTINCT doc_id, item_id, d.pos FROM {at('documents', 'doc_id')} d JOIN {at('eval_items', 'item_id')} e USING (g)),
+b AS (SELECT *, CASE WHEN pos > lag(pos) OVER o + 10 THEN 1 ELSE 0 END AS new FROM h WINDOW o AS (PARTITION BY doc_id, item_id ORDER BY pos)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS span FROM b)
+SELECT doc_id, item_id, min(pos)::INT AS word_from, max(pos + 10)::INT AS word_to FROM s GROUP BY doc_id, item_id, span
+"""
+
+
+def _forms() -> str:
     """Character by character: a table of forms for single characters, one of look-alikes for whole words."""
     values = lambda table: ", ".join(f"({confusables._quoted(c)}, {confusables._quoted(to)})" for c, to in table.items())
     plain = confusables.COMPATIBLE | {c: " " for c in confusables.SPACES} | dict(zip(*confusables.MARKS)) | {c: "" for c in confusables.INVISIBLE} | {c: confusables.LOOKALIKE[c] for c in confusables.LATIN}
@@ -73,6 +85,17 @@ forms AS (SELECT doc_id, pos, coalesce(p, c) AS f FROM chars LEFT JOIN plain USI
 words AS (SELECT *, sum(CASE WHEN regexp_matches(f, '^\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM forms),
 looks AS (SELECT *, bool_and(l IS NOT NULL OR NOT regexp_matches(f, '[\\p{{Greek}}\\p{{Cyrillic}}]')) OVER (PARTITION BY doc_id, w) AS whole FROM words LEFT JOIN latin USING (f)),
 n AS (SELECT doc_id, nfc_normalize(string_agg(CASE WHEN whole THEN coalesce(l, f) ELSE f END, '' ORDER BY pos)) AS form FROM looks GROUP BY doc_id),
-t AS (SELECT doc_id, text, form FROM n JOIN documents USING (doc_id))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
+t AS (SELECT doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(form, '') END AS form FROM documents LEFT JOIN n USING (doc_id))
 """
+
+
+def _p10() -> str:
+    return f"{_forms()} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
+
+
+def _p10_classes() -> str:
+    return f"{_forms()} SELECT DISTINCT md5(form) AS class_id, doc_id, md5(text) AS raw_hash FROM t WHERE form IN (SELECT form FROM t GROUP BY form HAVING count(DISTINCT text) > 1)"
+
+
+def _p10_normalized() -> str:
+    return f"{_forms()} SELECT doc_id, form AS normal FROM t"

@@ -1,4 +1,6 @@
+import os
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -88,3 +90,43 @@ def test_empty_tables_and_long_values(spark):
     assert [r.source_id for r in canon.link(values, none).collect()] == [-1, -1]
     assert canon.link(values.limit(0), spark.createDataFrame(REFERENCE, SCHEMA)).count() == 0
     assert [r.source_id for r in canon.link(values, spark.createDataFrame(REFERENCE, SCHEMA)).collect()] == [1, -1]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_found_like_a_scan_of_all_keys(spark):
+    """p3_found on whole tables against a comparison of every form with every key."""
+    from estrado.llm import queries
+    from estrado.sources.fallos import read_table
+
+    reference = [tuple(r) for r in read_table(spark, DATA, "fuentes_ref").select("source_id", "canonical_name", "short_name").collect()]
+    owners, full = {}, {}
+    for source, name, short in sorted(reference, reverse=True):
+        full[canon.key_of(re.sub(r"\([^)]*\)", " ", canon.fold(name)))] = source
+        for key in canon.reference_keys(name, short):
+            owners.setdefault(key, set()).add(source)
+    keys = {k: full[k] if len(s) > 1 else min(s) for k, s in owners.items() if len(s) == 1 or k in full}
+    forms = canon.Linker([]).forms
+
+    def meant(value):
+        best = (99, -1)
+        numbers = canon.numbers_of(forms(value)[0]) if forms(value) else []
+        for form in forms(value):
+            for key, source in keys.items():
+                if canon.numbers_of(form) == numbers == canon.numbers_of(key):
+                    d = levenshtein(form, key)
+                    if d <= min(canon.allowed(form), canon.allowed(key)):
+                        best = min(best, (d, source))
+        return best[1]
+
+    memo, want = {}, set()
+    cases = [("main_source", r.cit_id, 0, r.main_source) for r in read_table(spark, DATA, "ruling_citations").collect() if r.main_source and r.main_source.strip() and r.main_source != "Otro" and r.main_source not in {n for _, n, _ in reference}]
+    cases += [("extra", r.cit_id, 0, r.extra) for r in read_table(spark, DATA, "ruling_citations").collect() if r.main_source == "Otro" and r.extra and r.extra.strip()]
+    cases += [("verbatim", r.sub_id, k, v) for r in read_table(spark, DATA, "subsection_citations").collect() for k, v in enumerate(r.verbatim_citations or []) if v and v.strip()]
+    for field, row, pos, value in cases:
+        if value not in memo:
+            memo[value] = meant(value)
+        want.add((field, row, pos, memo[value]))
+    assert {tuple(r) for r in queries.queries()["p3_found"](spark, DATA).collect()} == want

@@ -68,6 +68,27 @@ def test_written_indexes_give_the_same_spans(spark, monkeypatch, stored):
     assert one and one == spans(100) == spans(7)
 
 
+def test_spans_like_brute_force(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(r.choice(WORDS[:4]) for _ in range(30))) for i in range(4)]
+    docs = [(d, " ".join(r.choice(WORDS[:4]) for _ in range(60))) for d in range(25)]
+    want = set()
+    for d, text in docs:
+        v = text.split()
+        for i, item in items:
+            w = item.split()
+            phrases = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+            at = [k for k in range(len(v) - 3) if tuple(v[k : k + 4]) in phrases]
+            held = sorted({k + n for k in at for n in range(4)})
+            for k in held:
+                if k - 1 not in held:
+                    end = k
+                    while end in held:
+                        end += 1
+                    want.add((d, i, k, end))
+    assert {tuple(x) for x in leak.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), size=4).collect()} == want
+
+
 def test_words_ignore_case_accents_and_looks():
     text = "«" + chr(0xFF21) + "cion  ni" + chr(0x200B) + "ño», di" + chr(0x441) + "é y ÑU_2"
     assert leak.text_words(text) == ["acion", "nino", "dice", "y", "nu", "2"]

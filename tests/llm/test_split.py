@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -96,3 +97,29 @@ def test_pieces_of_both_tables(spark, tmp_path):
         out[key] = out.get(key, "") + r.piece_text[r.own_start - r.piece_start :]
     want = {("PAZ DIJO", 0): "x", ("PAZ DIJO", 1): long, ("PAZ DIJO", 3): long, ("LUZ DIJO", 0): ""}
     assert out == {("fallos_json", 1, 0, *k): v for k, v in want.items()} | {("paragraphs", 9, 0, "S", 4): long, ("paragraphs", 8, 0, None, None): "corto"}
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_pieces_restore_every_paragraph_of_both_tables(spark):
+    """p5_pieces on whole tables: an exact round trip."""
+    from estrado.llm import queries
+    from estrado.sources.fallos import iter_rulings, read_table
+
+    want = {}
+    for r in read_table(spark, DATA, "fallos_json").select("file_id", "payload").collect():
+        for pos, ruling in iter_rulings(r.payload):
+            for section, value in (ruling.get("CONTENIDO") or {}).items():
+                for k, item in enumerate(value if isinstance(value, list) else [value]) if section.endswith(" DIJO") else ():
+                    text = item["texto"] if isinstance(item, dict) else item
+                    if text is not None:
+                        want["fallos_json", r.file_id, pos, section, k] = text
+    paragraphs = read_table(spark, DATA, "paragraphs").select("para_uid", "section", "paragraph_id", "text").distinct().collect()
+    want |= {("paragraphs", r.para_uid, 0, r.section, r.paragraph_id): r.text for r in paragraphs if r.text is not None}
+    parts = {}
+    for r in queries.queries()["p5_pieces"](spark, DATA).distinct().collect():
+        assert len(r.piece_text) <= split.LIMIT and 0 <= r.own_start - r.piece_start <= split.OVERLAP
+        parts.setdefault((r.tbl, r.row_id, r.obj_pos, r.section, r.para_pos), []).append((r.piece, r.piece_text[r.own_start - r.piece_start :]))
+    assert {k: "".join(t for _, t in sorted(p)) for k, p in parts.items()} == want
