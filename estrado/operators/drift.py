@@ -35,7 +35,7 @@ PROSE = 80
 _CITED = "METADATOS.ARTICULOS_CITADOS.citations"
 _PARENTS = frozenset({"METADATOS", "METADATOS.ARTICULOS_CITADOS", "CONTENIDO"})
 #: Buckets that the shapes of lines are counted in, besides the one for running text.
-BUCKETS = 255
+BUCKETS = 63
 #: Groups of tasks whose sketches are merged first.
 SALT = 32
 #: Most courts with renames that are broadcast.
