@@ -36,6 +36,8 @@ LOOKALIKE = {
     "ı": "i", "ɑ": "a", "ɡ": "g",
 }
 LATIN = "ıɑɡ"
+#: Bytes of text, about, that a query inside a task looks at.
+SLICE = 16_000_000
 #: Marks that look alike: hyphens and dashes are told apart, quotes too.
 MARKS = ("".join(map(chr, (0x2010, 0x2011, 0x2BC))), "--" + chr(0x2019))
 FULL_WIDTH = ("".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)))
@@ -91,14 +93,22 @@ _ODD = r"[^\x00-\x9F\xA1-\xAC\xAE-\x{130}\x{134}-\x{17F}]"
 _FOREIGN = r"[\p{Greek}\p{Cyrillic}]"
 
 
-def normal_sql(text: str) -> str:
-    """DuckDB expression of the one consistent form of the column ``text``."""
+def normal_sql(table: str, text: str, out: str) -> str:
+    """DuckDB query of ``out``, an expression of the column ``text`` of ``table`` and of its consistent form ``form``.
+
+    Each step is a projection of its own and null where the text needs none, so that plain texts are only looked at once.
+    """
     same = f"translate({text}, {_quoted(SPACES + MARKS[0] + LATIN)}, {_quoted(' ' * len(SPACES) + MARKS[1] + ''.join(LOOKALIKE[c] for c in LATIN))})"
-    plain = f"(SELECT regexp_replace({_mapped('s', COMPATIBLE)}, '[{INVISIBLE}]', '', 'g') FROM (SELECT {same} AS s))"
     # Words that hold a letter of another script are mapped where all of them have a Latin double.
-    latin = f"list_transform(regexp_extract_all(p, '\\s+|\\S+'), lambda w: CASE WHEN NOT regexp_matches(w, '{_FOREIGN}') THEN w ELSE {_mapped('w', LOOKALIKE | MARKED)} END)"
-    words = f"list_transform(list_zip(regexp_extract_all(p, '\\s+|\\S+'), {latin}), lambda z: CASE WHEN regexp_matches(z[2], '{_FOREIGN}') THEN z[1] ELSE z[2] END)"
-    return f"CASE WHEN {text} IS NULL OR NOT regexp_matches({text}, '{_ODD}') THEN {text} ELSE (SELECT nfc_normalize(CASE WHEN regexp_matches(p, '{_FOREIGN}') THEN array_to_string({words}, '') ELSE p END) FROM (SELECT {plain} AS p)) END"
+    parts = "regexp_extract_all(p, '\\s+|\\S+')"
+    latin = f"list_transform({parts}, lambda w: CASE WHEN NOT regexp_matches(w, '{_FOREIGN}') THEN w ELSE {_mapped('w', LOOKALIKE | MARKED)} END)"
+    words = f"list_transform(list_zip({parts}, {latin}), lambda z: CASE WHEN regexp_matches(z[2], '{_FOREIGN}') THEN z[1] ELSE z[2] END)"
+    return f"""
+SELECT {out} FROM (
+  SELECT {text}, CASE WHEN p IS NULL THEN {text} WHEN regexp_matches(p, '{_FOREIGN}') THEN nfc_normalize(array_to_string({words}, '')) ELSE nfc_normalize(p) END AS form FROM (
+    SELECT {text}, CASE WHEN s IS NOT NULL THEN regexp_replace({_mapped('s', COMPATIBLE)}, '[{INVISIBLE}]', '', 'g') END AS p FROM (
+      SELECT {text}, CASE WHEN regexp_matches({text}, '{_ODD}') THEN {same} END AS s FROM {table})))
+"""
 
 
 def normalize(documents: DataFrame, text: str = "text", into: str = "normal", keep: tuple[str, ...] | None = None, hashed: bool = False) -> DataFrame:
@@ -111,16 +121,16 @@ def normalize(documents: DataFrame, text: str = "text", into: str = "normal", ke
     source = documents.select(*kept, F.col(text).alias("_text"))
     new = {"raw_hash": "string", "normal_hash": "string"} if hashed else {into: "string"}
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text"), *(f"`{c}` {t}" for c, t in new.items())])
-    form = normal_sql("_text")
-    query = f"SELECT md5(_text) AS raw_hash, md5({form}) AS normal_hash FROM part" if hashed else f"SELECT {form} AS n FROM part"
+    query = normal_sql("part", "_text", "md5(_text) AS raw_hash, md5(form) AS normal_hash" if hashed else "form AS n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # a few megabytes of text at once
-                some = batch.slice(at, 1000)
+            step = max(1, SLICE * batch.num_rows // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
                 part = pa.table({"_text": some.column(some.num_columns - 1)})
                 db.register("part", part)
                 got = db.sql(query).to_arrow_table()
