@@ -157,6 +157,7 @@ def profile(files: DataFrame) -> DataFrame:
 
         salt = TaskContext.get().partitionId() % SALT
         acc: dict[tuple, list] = {}
+        buckets: dict[str, str] = {}
         new = lambda: [0, defaultdict(int), 0.0, 0, 0, set()]
         for batch in batches:
             payloads, organos, lotes = batch.column("payload"), batch.column("organo"), batch.column("lote")
@@ -175,13 +176,16 @@ def profile(files: DataFrame) -> DataFrame:
                             sketch = a[5]
                             for line in _lines(values):
                                 a[3] += len(line)
-                                a[1][f"s:{bucket_of(shape_of(line))}"] += 1
+                                shape = shape_of(line)
+                                a[1][buckets.get(shape) or buckets.setdefault(shape, f"s:{bucket_of(shape)}")] += 1
                                 sketch.add(zlib.crc32(line.encode("utf-8", "surrogatepass")))
                             if len(sketch) > 16 * SKETCH:
                                 a[5] = set(sorted(sketch)[:SKETCH])
             if len(acc) > 20_000:
                 yield flush(acc, salt)
                 acc.clear()
+            if len(buckets) > 100_000:
+                buckets.clear()
         if acc:
             yield flush(acc, salt)
 

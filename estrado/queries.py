@@ -747,7 +747,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The eight best paragraphs of each question with their metadata; text is joined after ranking."""
     rows = _paragraphs(spark, d, "articulos_citados")
     index = search.lexical_index(rows.select(F.col("para_uid").alias("key"), "text"), "key", "text")
-    top = search.best(search.bm25(index, search.question_terms(_questions(spark, d))), 8)
+    top = search.bm25_top(index, search.question_terms(_questions(spark, d)), 8)
     return top.join(rows.withColumnsRenamed({"para_uid": "key", "text": "paragraph"}), "key")
 
 
