@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +139,6 @@ def elo(matches: DataFrame, order: list[str], group: list[str] | None = None, k:
     ``matches`` has (player_a, player_b, result) with result 1, 0.5 or 0 for player_a. Each match depends on the one
     before, so a group is one task; ratings of independent groups run in parallel.
     """
-    import pandas as pd
-
     keys = group or []
     kept = [*keys, *order, "player_a", "player_b", "result"]
 
