@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 from estrado.plans.repeats import REPEATED, split_repeats
 
 
+#: Bytes below which a table of fewer files than cores is spread over the cores.
+SMALL = 1 << 30
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table ``name`` of a folder. A small one of few files lies in few row groups, which one task each reads: its rows
+    are dealt out to all cores. Others are read where they lie."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size, cores = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes(), spark.sparkContext.defaultParallelism
+    if int(str(size)) < SMALL and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
 
 
 def first_delivery(files: DataFrame, *keep: str, payload: str = "payload", file_id: str = "file_id", at: str = "recibido_at", most: int = REPEATED) -> DataFrame:

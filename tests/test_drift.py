@@ -166,3 +166,51 @@ def test_matching_is_of_greatest_weight():
     assert sorted(drift.best_matching([[0.9, 0.8], [0.8, 0.1]], 0.3)) == [(0, 1), (1, 0)]
     assert drift.best_matching([[0.2]], 0.3) == []
     assert sorted(drift.best_matching([[0.5, 0.9, 0.0]], 0.3)) == [(0, 1)]
+
+
+def test_changes_like_a_plain_count(spark):
+    """Renames taken apart into what went and what came, against shares counted one by one on whole tables."""
+    import os
+    from collections import Counter, defaultdict
+
+    import duckdb
+    import pytest
+
+    path = "/root/testdata/sf0.01/fallos_json.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    total, held, kinds = Counter(), Counter(), defaultdict(Counter)
+    for organo, lote, payload in duckdb.sql(f"SELECT any_value(organo), any_value(lote), any_value(payload) FROM '{path}' WHERE json_valid(payload) GROUP BY file_id").fetchall():
+        root = json.loads(payload)
+        for ruling in root if isinstance(root, list) else [root]:
+            total[organo, lote] += 1
+            flat = {k: [v] for k, v in ruling.items() if k not in ("METADATOS", "CONTENIDO")}
+            flat |= {f"METADATOS.{k}": [v] for k, v in ruling["METADATOS"].items() if k != "ARTICULOS_CITADOS"}
+            flat |= {f"CONTENIDO.{k}": [v] for k, v in ruling["CONTENIDO"].items() if not k.endswith(" DIJO")}
+            for c in ruling["METADATOS"]["ARTICULOS_CITADOS"]["citations"]:
+                for k, v in (c or {}).items():
+                    flat.setdefault(f"METADATOS.ARTICULOS_CITADOS.citations.{k}", []).append(v)
+            for field, values in flat.items():
+                held[organo, lote, field] += 1
+                some = [v for v in values if v not in (None, "", [], {})]
+                if some:
+                    first = some[0]
+                    kinds[organo, lote, field][f"list {type(first[0])}" if isinstance(first, list) else str(type(first))] += 1
+    want = set()
+    for organo in {o for o, _ in total}:
+        lotes = sorted(l for o, l in total if o == organo)
+        for field in {f for o, _, f in held if o == organo}:
+            share = [held[organo, l, field] / total[organo, l] for l in lotes]
+            for n in range(1, len(lotes)):
+                if max(share[:n]) <= 0.2 and min(share[n:]) >= 0.8:
+                    want.add((organo, lotes[n], "added", field))
+                if min(share[:n]) >= 0.8 and max(share[n:]) <= 0.2:
+                    want.add((organo, lotes[n], "removed", field))
+                main = [kinds[organo, l, field].most_common(1) for l in lotes]
+                sure = all(m and m[0][1] >= 0.8 * sum(kinds[organo, l, field].values()) for m, l in zip(main, lotes))
+                if min(share) >= 0.8 and sure and len({m[0][0] for m in main[:n]}) == len({m[0][0] for m in main[n:]}) == 1 and main[0][0][0] != main[n][0][0]:
+                    want.add((organo, lotes[n], "retyped", field))
+    got = set()
+    for r in drift.changes(spark.read.parquet(path)).collect():
+        got |= {(r.organo, r.lote, "removed", r.field_path), (r.organo, r.lote, "added", r.new_path)} if r.change_kind == "renamed" else {(r.organo, r.lote, r.change_kind, r.field_path)}
+    assert got == want and len(got) > 10
