@@ -279,13 +279,13 @@ def _models(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, pairs
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """(key..., kind, b, words) of lines, the carried half joined to the first word."""
+def _words(lines: DataFrame, *more: str) -> DataFrame:
+    """(key..., kind, b, more..., words) of lines, the carried half joined to the first word."""
     flow = F.concat(F.coalesce("b", F.lit("")), F.col("a"))
     cut = F.when(F.col("kind") == "hyphen", F.regexp_replace(flow, r"\S+\s*$", "")).otherwise(flow)
     strip = lambda w: F.btrim(w, F.lit(_EDGE))
     words = F.filter(F.transform(F.split(F.lower(cut), r"(?U)\s+"), strip), lambda w: w != "")
-    return lines.select(*KEY, "kind", "b", words.alias("words"))
+    return lines.select(*KEY, "kind", "b", *more, words.alias("words"))
 
 
 KEY = ["file_id", "obj_pos", "section", "para_pos", "line_no"]
@@ -333,19 +333,20 @@ def decode(parts: DataFrame) -> DataFrame:
     words, pairs = _models(parts)
     words = materialize(words.where(F.col("clean") >= ATTESTED))
     corpus = words.agg(F.sum("clean")).first()[0] or 0
-    lines = parts.where("tag = 'line' and a is not null")
+    lines = parts.where("tag = 'line' and size(doubt) > 0")
     tokens = lines.select(*KEY, F.explode("doubt").alias("word"))
     doubtful = tokens.select("word").distinct().join(words, "word", "left_anti")
     cands = materialize(_candidates(doubtful, words))
     lp = channel_of(cands, corpus)
     options = cands.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-_cost_of(lp, corpus)).alias("cost"), F.col("cand")))).alias("options"))
-    # Only words in doubt are joined with their candidates; the others have none.
-    hits = tokens.join(options, "word").groupBy(*KEY).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "options")))).alias("hits"))
     # Words whose signs no sound word holds are misread even where no word of the corpus explains them.
-    strange = lambda w: w.rlike(r"\p{L}[@|+´]|[@|+]\p{L}")
-    line = F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("word"), F.try_element_at("hits", w).alias("options"), strange(w).alias("strange")))
-    lines = _beside(_words(lines), hits).withColumn("line", line).drop("words", "hits")
-    lines = lines.where(F.exists("line", lambda t: t["options"].isNotNull() | t["strange"]))
+    strange = F.col("word").rlike(r"\p{L}[@|+´]|[@|+]\p{L}")
+    marked = doubtful.select("word", strange.alias("strange")).join(options, "word", "left").where("strange or options is not null")
+    # Only words in doubt are joined with their candidates, and only lines that hold one of them go on.
+    hits = tokens.join(marked, "word").groupBy(*KEY).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", F.struct("options", "strange"))))).alias("hits"))
+    one = lambda w: F.try_element_at("hits", w)
+    line = F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("word"), one(w)["options"].alias("options"), F.coalesce(one(w)["strange"], F.lit(False)).alias("strange")))
+    lines = _words(_beside(lines, hits, "inner"), "hits").withColumn("line", line).drop("words", "hits")
     lines = materialize(lines)
     edge = F.flatten(F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: _edges(F.element_at("line", i), F.element_at("line", i + 1))))
     wanted = lines.where(F.size("line") > 1).select(F.explode(edge).alias("e")).select("e.a", "e.b").distinct()
@@ -355,11 +356,11 @@ def decode(parts: DataFrame) -> DataFrame:
     return _choose(_beside(lines, of_line).select(*KEY, "kind", "b", "line", "pairs"))
 
 
-def _beside(lines: DataFrame, more: DataFrame) -> DataFrame:
-    """``lines`` with the columns of ``more`` for the same line, null where there is none."""
+def _beside(lines: DataFrame, more: DataFrame, how: str = "left") -> DataFrame:
+    """``lines`` with the columns of ``more`` for the same line, null (or, ``inner``, left out) where there is none."""
     more = more.withColumnsRenamed({c: f"_{c}" for c in KEY})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
-    return lines.join(more, same, "left").drop(*[f"_{c}" for c in KEY])
+    return lines.join(more, same, how).drop(*[f"_{c}" for c in KEY])
 
 
 def _by(*cols: str) -> Any:
