@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estrado.plans.scratch import materialize
+
 #: Items of a basket that are paired at once; larger baskets are cut into blocks first and go out as pairs of blocks.
 BLOCK = 512
 
@@ -22,14 +24,14 @@ def cooccurrences(items: DataFrame, basket: str, item: str, group: str | None =
     item count for the marginals; empty input gives no rows. A basket of any size is paired whole.
     """
     rows = items.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
-    rows = rows.select(F.col(basket).alias("_b"), F.col(item).alias("_i"), (F.col(group) if group else F.lit(0)).alias("_g")).distinct()
+    rows = materialize(rows.select(F.col(basket).alias("_b"), F.col(item).alias("_i"), (F.col(group) if group else F.lit(0)).alias("_g")).distinct())
     baskets = rows.agg(F.countDistinct("_b").alias("n_baskets"))
-    support = rows.groupBy("_i").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    frequent = rows.join(support, "_i")
+    support = materialize(rows.groupBy("_i").agg(F.count("*").alias("_n")).where(F.col("_n") >= least))
+    frequent = materialize(rows.join(support, "_i").drop("_n"))
     # Blocks by the items' hash, so that no row ever holds more of a basket than about a block.
     sizes = frequent.groupBy("_b").agg(F.count("*").alias("_n")).where("_n > 1").select("_b", F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
     placed = frequent.join(sizes, "_b").withColumn("_k", F.pmod(F.xxhash64("_i"), F.col("_blocks")))
-    blocks = placed.groupBy("_b", "_blocks", "_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_g"))).alias("_s"))
+    blocks = materialize(placed.groupBy("_b", "_blocks", "_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_g"))).alias("_s")))
     apart = lambda y: F.lit(True) if group is None else ~F.col("a._g").eqNullSafe(y["_g"])
     own = blocks.select(F.posexplode("_s").alias("_p", "a"), "_s").select("a", F.explode(F.filter(F.slice("_s", F.col("_p") + 2, F.size("_s")), apart)).alias("b"))
     large = blocks.where("_blocks > 1")
