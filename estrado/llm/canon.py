@@ -29,7 +29,7 @@ BLOCK = 50_000
 #: Distinct values and keys a task remembers.
 MEMO = 200_000
 UNLISTED = -1
-#: Abbreviations of words in names of sources; fixed values.
+#: Abbreviations of words in names of sources, as usual in Spanish legal writing; fixed values.
 _SHORT = {
     "cod": "codigo", "proc": "procesal", "proces": "procesal", "civ": "civil", "unif": "unificado", "prov": "provincial", "conv": "convencion", "const": "constitucion", "contin": "continental",
     "gtias": "garantias", "gtia": "garantias", "ciud": "ciudadanas", "escr": "escritos", "dig": "digitales", "ord": "ordenanza", "ordenza": "ordenanza", "mun": "municipal", "munic": "municipal", "ac": "acuerdo",

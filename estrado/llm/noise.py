@@ -30,7 +30,7 @@ ATTESTED = 3
 ROUNDS = 3
 #: Counts kept in a task before they are handed on.
 COUNTERS = 400_000
-#: Characters as printed and as misread; fixed values.
+#: Characters as printed and as misread, of like shape on a scanned page (common knowledge of text recognition); fixed values.
 CONFUSIONS = (
     ("o", "0"), ("o", "9"), ("a", "@"), ("a", "4"), ("e", "c"), ("e", "3"), ("r", "f"), ("t", "+"), ("t", "i"), ("t", "7"), ("i", "|"), ("i", "1"), ("i", "l"), ("i", "!"),
     ("l", "|"), ("l", "1"), ("l", "i"), ("d", "cl"), ("cl", "d"), ("s", "5"), ("s", "$"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("v", "y"), ("g", "q"), ("g", "9"), ("b", "8"), ("h", "8"), ("li", "b"), ("m", "fn"),
