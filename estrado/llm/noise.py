@@ -37,9 +37,12 @@ CONFUSIONS = (
     ("b", "6"), ("ó", "6"), ("í", "ï"), ("á", "à"), ("é", "è"), ("ó", "ò"), ("h", "b"), ("b", "h"), ("li", "h"), ("h", "li"), ("á", "a´"), ("é", "e´"), ("í", "i´"), ("ó", "o´"), ("ú", "u´"),
     ("ñ", "fi"), ("ñ", "n~"), ("n", "ri"), ("w", "vv"), ("z", "2"), ("c", "e"), ("f", "r"),
 )
-#: Words that begin a running header or footer, or a stamp or signature; fixed values.
-_HEADS = ("poderjudicial", "camaradeapelaciones", "camaradeape", "firmadodigitalmente", "firmado", "firmadopor", "juzgado", "tribunal", "superiortribunal", "secretaria", "selloaclaratorio")
+#: Words that begin a running header or footer, or a signature; fixed values.
+_HEADS = ("poderjudicial", "firmado")
+#: Offices whose names begin one where they stand in capitals, set apart or with a dash; fixed values.
+_OFFICES = ("camaradeape", "cortesuprema", "superiortribunal", "tribunal", "juzgado", "fiscalia", "defensoria", "ministeriopublico", "secretaria")
 _FOLD = str.maketrans({"0": "o", "9": "o", "1": "i", "l": "i", "|": "i", "!": "i", "5": "s", "$": "s", "@": "a", "8": "b", "+": "t", "6": "o", "3": "e"})
+_FOLDED_HEADS, _FOLDED_OFFICES = (tuple(w.translate(_FOLD) for w in words) for words in (_HEADS, _OFFICES))
 _PAGENO = re.compile(r"(?i)^[\s\[\](){}/|\-–—=*.·~°ºN]*(?:(?:p[aá4@]g(?:ina|s)?|pg|p|fs?|fo[l1i|][i1l|]?[o0]?s?|fojas?|hoja|h)\b\.?\s*(?:n[°º.]\s*)?)?(?:\d{1,4}|[ivxlc]{1,7}(?=\W*$))(?:\s*(?:/|de|of|-)\s*\d{1,4})?[\s\[\](){}/|\-–—=*.·~]*$")
 _STAMP = re.compile(r"^\s*\d{2,4}[-/.]\d{1,2}[-/.]\d{2,4}(?:[T ]\s*\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:hs?\.?|Z))?)?\s*$|^\s*\d{1,2}:\d{2}(?::\d{2})?\s*$")
 _CASE = re.compile(r'^\s*"[^"]{3,}?\s[cCeE]/\s?[^"]{2,}"\s*$')
@@ -63,8 +66,8 @@ def line_kind(line: str, inner: bool = True) -> str:
     if bare[-1] not in ".,;:":
         key = unicodedata.normalize("NFD", bare.lower()).translate(_FOLD)
         key = "".join(c for c in key if c.isalnum())
-        heads = tuple(h.translate(_FOLD) for h in _HEADS)
-        if key.startswith(heads[0]) or key.startswith(heads[2]) and (" - " in bare or bare.isupper() or _spaced(bare)) or key.startswith(heads[3:6]):
+        formal = " - " in bare or bare.isupper() or _spaced(bare)
+        if key.startswith(_FOLDED_HEADS) or formal and key.startswith(_FOLDED_OFFICES):
             return "header"
         if _spaced(bare) or bare.upper() == bare and sum(c.isalpha() for c in bare) > 12 and " - " in bare:
             return "header"

@@ -37,6 +37,11 @@ def test_kinds_by_form(line, kind):
     assert noise.line_kind(line) == kind
 
 
+@pytest.mark.parametrize(("line", "kind"), [("CORTE SUPREMA DE JUSTICIA DE LA NACIÓN", "header"), ("Fiscalía General - Paraná", "header"), ("JUZGADO CIVIL N° 3", "header"), ("tribunal de alzada en pleno", ""), ("Corte Suprema de Justicia", ""), ("FISCALÍA GENERAL.", "")])
+def test_offices(line, kind):
+    assert noise.line_kind(line) == kind
+
+
 def test_a_number_the_line_before_asks_for_is_sound():
     assert noise.line_kinds(["conforme el art.", "3", "de la ley", "7", "y más"]) == ["", "", "", "pageno", ""]
     assert noise.line_kinds(["conforme el art.", "2", "578 del CPC y", "3", "fin"]) == ["", "pageno", "", "pageno", ""]
